@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality
+from . import bpe, jaccard, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe_roundtrip": bpe.op6_bpe_roundtrip,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
     "op9_quality_rules": quality.op9_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
