@@ -92,7 +92,7 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan_secrets(df: DataFrame, weights: list[float], text: str = "text", *, margin: float = 0.6) -> DataFrame:
+def scan_secrets(df: DataFrame, weights: list[float], text: str = "text", *, margin: float = 0.2) -> DataFrame:
     """Add secret_base and secret_all, arrays of (start, rank, end, kind, what) by start and kind, for the text of each row.
 
     Base spans: assignments of 8 characters or more to a secret's name, access keys, runs of 32 hex digits. The models add
