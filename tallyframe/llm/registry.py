@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, langid, lengths, mixing, quality, secrets, urlrules
+from . import avi, bpe, jaccard, langid, lengths, licences, mixing, quality, secrets, urlrules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_avi_media": avi.op2_avi_media,
+    "op3_licence_scan": licences.op3_licence_scan,
     "op4_fair_mix": mixing.op4_fair_mix,
     "op5_language_id": langid.op5_language_id,
     "op6_bpe_roundtrip": bpe.op6_bpe_roundtrip,
