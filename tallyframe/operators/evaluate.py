@@ -116,8 +116,9 @@ def _stacked(data, preds: list[str], rvar: str) -> DataFrame:
     parts = []
     for name, df in _datasets(data).items():
         need_columns(df, [rvar, *preds])
-        parts.append(df.select(F.lit(name).alias("Type"), col(rvar), *[col(p).cast("double").alias(p) for p in preds]))
-    return reduce(DataFrame.unionByName, parts).unpivot(["Type", col(rvar)], [col(p) for p in preds], "predictor", "pred")
+        each = F.array(*[F.struct(F.lit(p).alias("predictor"), col(p).cast("double").alias("pred")) for p in preds])
+        parts.append(df.select(F.lit(name).alias("Type"), col(rvar), F.inline(each)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def evalbin(data, rvar: str, lev, pred, cost: float = 1, margin: float = 2, scale: float = 1, dec: int = 3) -> DataFrame:

@@ -146,10 +146,9 @@ class regress(_Model):
         return {"F": f, "df1": k, "df2": self.df_resid, "p_value": S.f_sf(f, k, self.df_resid), "rsq_reduced": 1 - self.sse * (1 + w / self.df_resid) / self.sst}
 
     def predict(self, data=None, cmd: dict | None = None, data_cmd: dict | None = None, ci: bool = False, conf: float = 0.95) -> DataFrame:
-        """Add `prediction` (with ci also the bounds): for data, a simulated grid (cmd), or with columns set (data_cmd)."""
+        """Add `prediction` (with ci also ci_low and ci_high): for data, a simulated grid (cmd), or with columns set (data_cmd)."""
         df, link, half = self._link_frame(data, cmd, data_cmd, conf)
-        low, high = ci_label("two-sided", conf)
-        return df.withColumns({"prediction": link} | ({low: link - half, high: link + half} if ci else {}))
+        return df.withColumns({"prediction": link} | ({"ci_low": link - half, "ci_high": link + half} if ci else {}))
 
     def residuals(self) -> DataFrame:
         df, link, _ = self._link_frame(None, None, None, 0.95)
@@ -232,11 +231,10 @@ class logistic(_Model):
         return {"chisq": chisq, "df": dof, "p_value": S.chisq_sf(chisq, dof)}
 
     def predict(self, data=None, cmd: dict | None = None, data_cmd: dict | None = None, ci: bool = False, conf: float = 0.95) -> DataFrame:
-        """Add the probability `prediction`, with ci its bounds (made on the link)."""
+        """Add the probability `prediction`, with ci also ci_low and ci_high (made on the link)."""
         df, link, half = self._link_frame(data, cmd, data_cmd, conf)
         expit = lambda c: 1 / (1 + F.exp(-c))
-        low, high = ci_label("two-sided", conf)
-        return df.withColumns({"prediction": expit(link)} | ({low: expit(link - half), high: expit(link + half)} if ci else {}))
+        return df.withColumns({"prediction": expit(link)} | ({"ci_low": expit(link - half), "ci_high": expit(link + half)} if ci else {}))
 
     def auc(self) -> float:
         scored = self.predict(self.design.complete(self.data, self.rvar))
