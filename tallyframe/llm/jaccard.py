@@ -291,3 +291,14 @@ def jaccard_components(df: DataFrame, id_column: str = "doc_id", text: str = "te
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+#: The query as DuckDB SQL: all pairs that share a shingle, then reachability.
+OP10_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+e AS MATERIALIZED (SELECT doc_id, unnest(s) AS g FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT c.a, c.b FROM c JOIN s x ON c.a = x.doc_id JOIN s y ON c.b = y.doc_id WHERE 100 * c.n >= 80 * (len(x.s) + len(y.s) - c.n)),
+p AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS other FROM s UNION SELECT r.doc_id, p.b FROM r JOIN p ON r.other = p.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.component_id FROM s JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY 1) m ON s.doc_id = m.doc_id"""

@@ -17,7 +17,7 @@ from .shared import ASCII_SPACE, documents_of, mix, table, with_results, word_ha
 #: What ends a sentence (UTF-8), phrases of site furniture, and separators of menus.
 SENTENCE_END = (b".", b"!", b"?", b":", b";", b'"', b"'", b")", "…".encode(), "”".encode(), "’".encode(), "»".encode(), "。".encode(), "！".encode(), "？".encode())
 BOILERPLATE = re.compile(rb"(?i)lorem ipsum|cookie policy|privacy policy|terms of (?:use|service)|all rights reserved|enable javascript|click here|subscribe (?:now|to our)|sign up for|follow us on|share (?:this|on) |powered by|back to top")
-MENU = re.compile(r"\s(?:\||>|»|·|•|→)\s".encode())
+MENU = re.compile(r"[\x20\x09-\x0D](?:\||>|»|·|•|→)[\x20\x09-\x0D]".encode())
 SYMBOLS = b"#*$%&|<>"
 
 RESULTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_lines long, n_bad_lines long, lost_share double, kept boolean"
@@ -113,3 +113,25 @@ def quality_rules(df: DataFrame, text: str = "text", *, max_lost: float = 0.5, m
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def _sql() -> str:
+    """The query as DuckDB SQL: the same counts and line rules."""
+    word = r"[^\x20\x09-\x0D]+"
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    ends = " OR ".join(f"ends_with(b, {q(e.decode())})" for e in SENTENCE_END)
+    return rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}') AS w, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM t WHERE len(w) > 2),
+h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS n FROM g),
+r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM h WHERE n > 1) GROUP BY 1),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM t),
+m AS (SELECT doc_id, line, len(regexp_extract_all(line, '{word}')) AS n, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS twice, regexp_replace(line, '[\x20\x09-\x0D]+$', '') AS b,
+  len(regexp_extract_all(line, '[\x20\x09-\x0D](?:\||>|»|·|•|→)[\x20\x09-\x0D]')) AS menus, length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS syms FROM l),
+k AS (SELECT *, twice OR (n <= 30 AND (menus >= 2 OR (menus > 0 AND n <= 8))) OR (n <= 40 AND regexp_matches(line, {q(BOILERPLATE.pattern.decode())})) OR (syms >= 3 AND 10 * syms > n) OR (n > 4 AND NOT ({ends}) AND NOT contains(line, '. ')) AS bad FROM m WHERE n > 0),
+s AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (bad) AS n_bad_lines, count(*) FILTER (twice) AS n_dup_lines, coalesce(sum(strlen(line)) FILTER (bad), 0) / sum(strlen(line)) AS lost_share FROM k GROUP BY 1),
+f AS (SELECT t.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  coalesce(n_lines, 0) AS n_lines, coalesce(n_bad_lines, 0) AS n_bad_lines, coalesce(lost_share, 0)::DOUBLE AS lost_share FROM t LEFT JOIN r ON t.doc_id = r.doc_id LEFT JOIN s ON t.doc_id = s.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, n_lines, n_bad_lines, lost_share, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_share <= 0.5 AS kept FROM f"""
+
+
+OP9_SQL = _sql()

@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
-ORACLE_SQL: dict[str, str] = {"op7_url_rules": urlrules.OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_url_rules": urlrules.OP7_SQL, "op9_quality_rules": quality.OP9_SQL, "op10_jaccard_join": jaccard.OP10_SQL}
