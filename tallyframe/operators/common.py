@@ -88,6 +88,12 @@ def levels_of(df: DataFrame, name: str, levels: list | None = None) -> list:
     return [r[0] for r in df.select(col(name)).filter(col(name).isNotNull()).distinct().orderBy(col(name)).collect()]
 
 
+def first_seen_levels(df: DataFrame, name: str, order_by: str) -> list:
+    """Levels in the order in which they first occur by `order_by`; nulls are no level."""
+    first = df.filter(col(name).isNotNull()).groupBy(col(name).alias("v")).agg(F.min(col(order_by)).alias("at"))
+    return [r.v for r in first.orderBy("at", "v").collect()]
+
+
 def with_levels(df: DataFrame, name: str, levels: list) -> DataFrame:
     """Put ordered levels into the column's metadata."""
     return df.withMetadata(name, {**(df.schema[name].metadata or {}), "levels": list(levels)})

@@ -11,6 +11,8 @@ from ..operators.bins import valid
 from ..operators.common import as_frame, col, is_numeric, listed, need_columns
 from ..operators.distr import classify, value_counts
 from ..operators.explore import AGGREGATES
+from ..operators.hypothesis import crosstab_frame
+from ..operators.moments import prop_calc
 from ..operators.rows import sample_rows
 
 GEOMS = ("dist", "hist", "density", "scatter", "bar", "line", "box", "violin")
@@ -98,3 +100,31 @@ def visualize(data, x: str, y: str | None = None, geom: str | None = None, by=No
     if geom == "line":
         return df.select(*[col(c) for c in dict.fromkeys([x, y, *listed(by)])]).orderBy(col(x))
     return scatter_data(df, x, y, by, nobs)
+
+
+def prop_plot_data(data, group: str, rvar: str, lev, break_even: float | None = None) -> DataFrame:
+    """(group, rvar, break_even): shares of `lev` for bars, with the line to compare them with."""
+    return prop_calc(data, group, rvar, lev).withColumn("break_even", F.lit(break_even).cast("double"))
+
+
+def test_plot_data(spark, result) -> dict[str, DataFrame]:
+    """The statistics and comparisons of a test as frames, for bars, intervals and tables."""
+    frames = {"stats": result.stats, "comparisons": result.comparisons}
+    tidy = lambda rows: [{k.replace("%", "pct").replace(".", "_"): float(v) if isinstance(v, float) else v for k, v in r.items()} for r in rows]
+    return {k: spark.createDataFrame(tidy(rows)) for k, rows in frames.items() if rows}
+
+
+def crosstab_plot_data(data, var1: str, var2: str, kind: str = "perc_col") -> DataFrame:
+    """(var1, var2, value) for a kind: observed, expected, chisq, dev_std, perc_row, perc_col, perc."""
+    if kind not in ("observed", "expected", "chisq", "dev_std", "perc_row", "perc_col", "perc"):
+        raise ValueError(f"Unknown kind: {kind}")
+    return crosstab_frame(as_frame(data), var1, var2).select(col(var1), col(var2), F.col(kind).cast("double").alias("value"))
+
+
+def scatter_matrix_data(data, variables: list[str], nobs: int = 1000, seed: int = 1234) -> tuple[DataFrame, DataFrame]:
+    """A sample of at most `nobs` rows of the variables, and (var_x, var_y, slope, intercept, n) of a line for each pair, from all rows."""
+    df = as_frame(data).select(*map(col, variables))
+    pairs = [(a, b) for i, a in enumerate(variables) for b in variables[:i]]
+    one = df.agg(*[f(col(b), col(a)).alias(f"{k}{i}") for i, (a, b) in enumerate(pairs) for k, f in (("s", F.regr_slope), ("i", F.regr_intercept), ("n", F.regr_count))])
+    lines = one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("var_x"), F.lit(b).alias("var_y"), F.col(f"s{i}").alias("slope"), F.col(f"i{i}").alias("intercept"), F.col(f"n{i}").alias("n")) for i, (a, b) in enumerate(pairs)])))
+    return sample_rows(df, nobs, seed=seed), lines

@@ -164,3 +164,18 @@ def test_plotdata(spark):
     with pytest.raises(ValueError):
         plotdata.visualize(df, "x", geom="box")
     assert plotdata.visualize(df, "g").count() == 2 and plotdata.visualize(df, "x", "x", nobs=7).count() == 7
+
+
+def test_more_plotdata(spark):
+    from tallyframe.operators.common import first_seen_levels
+    from tallyframe.operators.hypothesis import compare_props
+
+    df = spark.createDataFrame([("b", "y", 1, 2.0), ("a", "n", 2, 4.0), ("b", "n", 3, 6.0), (None, "y", 0, 9.0)], "g string, r string, i int, x double")
+    assert first_seen_levels(df, "g", "i") == ["b", "a"]
+    bars = {r.g: (r.r, r.break_even) for r in plotdata.prop_plot_data(df, "g", "r", "y", 0.3).collect()}
+    assert bars == {"b": (0.5, 0.3), "a": (0.0, 0.3), None: (1.0, 0.3)}
+    frames = plotdata.test_plot_data(spark, compare_props(df, "g", "r", "y"))
+    assert frames["stats"].count() == 2 and "2_5pct" in frames["comparisons"].columns
+    assert plotdata.crosstab_plot_data(df, "g", "r").count() == 4
+    sample, lines = plotdata.scatter_matrix_data(df.select("i", "x"), ["i", "x"], 2)
+    assert sample.count() == 2 and lines.first().n == 4
