@@ -58,9 +58,9 @@ def pivot(data, rows, cols=None, values=None, agg: str = "count", normalize: str
         if len(cols) == 1 and not df.filter(col(cols[0]).isNull()).isEmpty():
             levels = [*levels, None]
     cells = ["null" if x is None else str(x) for x in levels]
-    grouped = df.groupBy(*keys, spread.cast("string").alias("__spread")).agg(value.cast("double").alias("__value"))
-    grouped = grouped.withColumn("__spread", F.coalesce("__spread", F.lit("null")))
-    out = grouped.groupBy(*keys).pivot("__spread", cells).agg(F.first("__value"))
+    # Spark aggregates by rows and level first and then spreads one value a cell, so this is two small shuffles.
+    marked = df.withColumn("__spread", F.coalesce(spread.cast("string"), F.lit("null")))
+    out = marked.groupBy(*keys).pivot("__spread", cells).agg(value.cast("double"))
     if totals:
         out = out.withColumn("Total", _sum_of(cells)).withColumns({r: col(r).cast("string") for r in rows})
         last = out.agg(*[F.sum(F.coalesce(col(c), F.lit(0.0))).alias(c) for c in [*cells, "Total"]])
