@@ -38,11 +38,39 @@ def place(x: Column, breaks: Column, right: bool = True, include_lowest: bool =
     return F.when(valid(x), bin_.cast("int"))
 
 
+def exact_breaks(df: DataFrame, var: str, n: int, name: str = "__breaks") -> DataFrame:
+    """One row: the n + 1 breaks of a column, found among the ranks of its distinct values.
+
+    Unlike the percentile aggregate, no task holds all values: they are counted, ranked range by range, and only the two
+    order statistics next to each break are picked.
+    """
+    x = col(var).cast("double")
+    ranks = average_ranks(df.select(x.alias("__x")).filter(valid(F.col("__x"))), "__x")
+    spans = ranks.select(F.col("__x"), (F.col("rank") + (F.col("n") - 1) / 2).alias("__upto"), "n")
+    total = spans.agg(F.max("__upto").alias("__all"))
+    both = spans.crossJoin(F.broadcast(total))  # one row
+    picks = []
+    for i in range(n + 1):
+        at = (F.col("__all") - 1) * i / n
+        for k, place_ in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            inside = (F.col("__upto") - F.col("n") <= place_) & (place_ < F.col("__upto"))
+            picks.append(F.max(F.when(inside, F.col("__x"))).alias(f"{k}{i}"))
+    one = both.agg(F.max("__all").alias("__all"), *picks)
+    breaks = []
+    for i in range(n + 1):
+        at = (F.col("__all") - 1) * i / n
+        breaks.append(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (at - F.floor(at)))
+    return one.select(F.when(F.col("__all").isNotNull(), F.array(*breaks)).alias(name))
+
+
 def xtile(data, var: str, n: int = 5, rev: bool = False, by=None, name: str = "bin", accuracy: int | None = None) -> DataFrame:
     """Add the quantile bin of `var` (of its group, with `by`), 1 to n, right-closed; rev: the highest values get bin 1."""
     df, by = as_frame(data), listed(by)
     need_columns(df, [var, *by])
-    breaks = df.groupBy(*map(col, by)).agg(quantile_breaks(col(var), n, accuracy).alias("__breaks"))
+    if by or accuracy:
+        breaks = df.groupBy(*map(col, by)).agg(quantile_breaks(col(var), n, accuracy).alias("__breaks"))
+    else:
+        breaks = exact_breaks(df, var, n)
     joined = df.join(breaks, by) if by else df.crossJoin(F.broadcast(breaks))  # one row
     b = place(col(var), F.col("__breaks"))
     return joined.withColumn(name, n + 1 - b if rev else b).drop("__breaks")

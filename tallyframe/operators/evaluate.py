@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bins import average_ranks, quantile_breaks, valid, xtile
+from .bins import average_ranks, exact_breaks, valid, xtile
 from .common import as_frame, col, listed, need_columns, ratio
 
 
@@ -151,7 +151,7 @@ def uplift_tab(data, rvar: str, lev, pred: str, tvar: str, tlev, scale: float =
     need_columns(df, [rvar, pred, tvar])
     p, treated = col(pred).cast("double"), _is(tvar, tlev)
     df = df.filter(valid(p) & col(tvar).isNotNull())
-    breaks = df.agg(quantile_breaks(F.when(treated, p), qnt).alias("__b"))
+    breaks = exact_breaks(df.filter(treated), pred, qnt, "__b")
     inner = F.slice("__b", 2, qnt - 1)
     binned = df.crossJoin(F.broadcast(breaks)).withColumn("bins", qnt - F.size(F.filter(inner, lambda b: b < p)))  # one row
     hit = _is(rvar, lev)
