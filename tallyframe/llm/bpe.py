@@ -12,6 +12,7 @@ import base64
 import hashlib
 from collections.abc import Iterable
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +63,7 @@ class Vocabulary:
             children.setdefault(parent[state][0], []).append(state)
         self.fall = [0] * len(parent)  # the longest proper suffix that is a state
         self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(parent)
+        self._most_steps = len(self.go) + (1 << 17)
         tree, level = dict(self.go), [0]
         while level:
             level = [c for state in level for c in children.get(state, ())]
@@ -80,7 +82,7 @@ class Vocabulary:
             if not back:
                 raise ValueError("the vocabulary lacks a byte")
             back = self.fall[back]
-        if len(self.go) < 1 << 20:
+        if len(self.go) < self._most_steps:
             self.go[state << 8 | byte] = to
         return to
 
@@ -123,7 +125,7 @@ class Vocabulary:
             else:
                 break
             pair = a, b
-        if len(self._fits) < 1 << 19:
+        if len(self._fits) < 1 << 17:
             self._fits[left, right] = ok
         return ok
 
@@ -185,7 +187,7 @@ class PrefixTable:
 class Encoder:
     """Encodes whole texts, each match of the pattern by a PrefixTable; keeps what it has computed for up to `keep` matches."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str, keep: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, pattern: str, keep: int = 200_000):
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
         self.bytes_of = {str(r): t for r, t in vocabulary.bytes_of.items()}
         encode = self.piece
@@ -280,7 +282,7 @@ def bpe_encode(df: DataFrame, content: bytes, pattern: str, text: str = "text",
             if digests:
                 row += [hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(encoder.decode(parts)).hexdigest()]
             if ids_column:
-                row.append([int(x) for x in parts])
+                row.append(np.fromstring(ids, np.int32, sep=" "))
             for c, x in zip(columns, row, strict=True):
                 c.append(x)
         return columns
