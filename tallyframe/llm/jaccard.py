@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,7 +68,7 @@ def _key(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _fragment_rows(df: DataFrame, text: str, bits: int, width: int, hot: int, most: int = 2_000_000) -> DataFrame:
+def _fragment_rows(df: DataFrame, text: str, bits: int, width: int, hot: int, most: int = 1_000_000) -> DataFrame:
     """Each task's distinct sets, cut into fragments: rows (frag, kind, keys, counts, hashes)."""
     schema = "frag int, kind int, keys binary, counts binary, hashes binary"
     names = ["frag", "kind", "keys", "counts", "hashes"]
@@ -125,21 +126,26 @@ def _fragment_rows(df: DataFrame, text: str, bits: int, width: int, hot: int, mo
 
 def _share_in_fragment(group: pa.Table) -> pa.Table:
     """Rows (key, n, shared, entries) for the documents of one fragment: entries are hash and frequency of each shared n-gram."""
-    kind = group.column("kind").to_numpy()
-    cols = [group.column(c).to_pylist() for c in ("keys", "counts", "hashes")]
+    kind = group.column("kind")
 
     def of(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        rows = np.flatnonzero(kind == k).tolist()
-        return tuple(np.frombuffer(b"".join([c[i] for i in rows]), t) for c, t in zip(cols, (np.int64, np.int32, np.uint64), strict=True))
+        """The numbers in the rows of one kind, all rows of a column as one array, without another copy."""
+        rows = group.filter(pc.equal(kind, k))
+        out = []
+        for c, t in (("keys", np.int64), ("counts", np.int32), ("hashes", np.uint64)):
+            x = pa.concat_arrays(rows.column(c).chunks) if rows.num_rows else pa.array([], pa.binary())
+            ends = np.frombuffer(x.buffers()[1], np.int32, len(x) + 1, 4 * x.offset) if len(x) else np.zeros(1, np.int32)
+            out.append(np.frombuffer(x.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(t) if ends[-1] > ends[0] else np.zeros(0, t))
+        return tuple(out)
 
     key, size, _ = of(_SIZE)
     passed_key, passed_count, passed = of(_PASSED)
     marked = np.unique(of(_MARK)[2])
     keys, counts, h = of(_PART)
-    del cols
     doc = np.repeat(keys, counts)
     order = np.lexsort((doc, h))
     h, doc = h[order], doc[order]
+    del order, keys, counts
     if len(h):
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])
         h, doc = h[new], doc[new]
