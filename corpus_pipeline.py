@@ -48,8 +48,8 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, whole; one that it takes twice is there twice."""
     taken = fair_mix(docs).filter("taken > 0").select(F.col("doc_id").alias("id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    taken = settle(taken)
-    chosen = docs.select(*COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("id")))
+    # One strategy at every size: texts are shuffled once and never sorted, the small side is the hash table.
+    chosen = docs.select(*COLUMNS).join(settle(taken).hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")))
     return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
