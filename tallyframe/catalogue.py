@@ -41,9 +41,11 @@ def frame(spark: SparkSession, rows: list[dict], columns: str) -> DataFrame:
 _STATS = {"mean": "avg({0})", "median": "quantile_cont({0}, 0.5)", "min": "min({0})", "max": "max({0})", "sd": "stddev_samp({0})"}
 
 
-@query(" UNION ALL ".join(f"SELECT '{k}' AS statistic, " + ", ".join(f"round(CAST({v.format(c)} AS DOUBLE), 4) AS {c}" for c in ("l_quantity", "l_extendedprice", "l_discount")) + " FROM lineitem" for k, v in _STATS.items()))
+@query(" UNION ALL ".join(f"SELECT '{k}' AS statistic, " + ", ".join(f"round(CAST({v.format(c)} AS DOUBLE), 4) + 0.0::DOUBLE AS {c}" for c in ("l_quantity", "l_extendedprice", "l_discount")) + " FROM lineitem" for k, v in _STATS.items()))
 def explore_all(spark, d):
-    return rounded(explore.explore(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]), 4)
+    # Discounts hold both 0.0 and -0.0, of which either can be the minimum; adding 0.0 on both sides makes it 0.0.
+    out = rounded(explore.explore(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]), 4)
+    return out.select("statistic", *[(F.col(c) + F.lit(0.0)).alias(c) for c in out.columns if c != "statistic"])
 
 
 @query("SELECT l_returnflag, " + ", ".join(f"round(CAST({v.format('l_quantity')} AS DOUBLE), 6) AS l_quantity_{k}" for k, v in _STATS.items()) + " FROM lineitem GROUP BY l_returnflag")
