@@ -169,7 +169,7 @@ class mlp(Learner):
         from pyspark.ml.functions import vector_to_array
 
         s = self.settings
-        sample = sample_rows(train.select("__key", vector_to_array("__features").alias("x"), "__label"), s.get("max_rows", 50_000), "__key", self.seed)
+        sample = sample_rows(train.select("__key", vector_to_array("__features").alias("x"), "__label"), s.get("max_rows", 50_000), seed=self.seed)
         got = sample.toPandas()
         x = np.array(got["x"].tolist(), float).reshape(len(got), len(self.columns))
         y = (got["__label"].to_numpy(float) - self.y_moments[0]) / self.y_moments[1]

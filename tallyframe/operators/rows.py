@@ -9,12 +9,23 @@ from pyspark.sql import functions as F
 from .combine import numbered
 from .common import as_frame, col, listed, need_columns
 
+_LOT = 4096  # copies of a row that are listed at once
+
 
 def sample_rows(data, n: int, key=None, seed: int = 1234) -> DataFrame:
-    """Exactly n rows (all, if there are fewer), the same for a seed; `key`: columns that tell rows apart (default: all)."""
+    """Exactly n rows (all, if there are fewer), the same for a seed; `key`: columns that tell all rows apart.
+
+    Without a key equal rows are counted and numbered, so that each copy is drawn on its own.
+    """
     df = as_frame(data)
     keys = [col(c) for c in listed(key) or df.columns]
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    if key is not None:
+        return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    lots = counts.withColumn("__lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / _LOT))))
+    first = F.col("__lot") * _LOT
+    copies = lots.withColumn("__copy", F.explode(F.sequence(first + 1, F.least(F.col("__n"), first + _LOT))))
+    return copies.orderBy(F.xxhash64(F.lit(seed), *keys, F.col("__copy")), *keys, "__copy").limit(n).select(*keys)
 
 
 def shuffle_column(data, name: str, key, seed: int = 1234) -> DataFrame:

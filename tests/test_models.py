@@ -177,3 +177,10 @@ def test_state(spark, tmp_path):
     got = state.read_parquet(spark, f"file://{tmp_path}/p")
     assert got.first().s == "a" and got.schema["s"].metadata["levels"] == ["b", "a"]
     assert state.describe(state.add_description(df, "Text")) == "Text" and state.describe(df).count() > 3
+
+
+def test_importance_of_all_rows(spark):
+    rows = [(x, "yes" if (i * 7919) % 10 < 2 + 6 * x else "no") for x in (0, 1) for i in range(6000)]
+    m = logistic(spark.createDataFrame(rows, "x int, b string"), "b", "yes", ["x"])
+    assert explain.permutation_importance(m, rep=2).first().importance == pytest.approx(0.3, abs=0.03)
+    assert explain.permutation_importance(m, rep=2, n_sample=1000).first().importance == pytest.approx(0.3, abs=0.1)

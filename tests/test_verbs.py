@@ -179,3 +179,12 @@ def test_more_plotdata(spark):
     assert plotdata.crosstab_plot_data(df, "g", "r").count() == 4
     sample, lines = plotdata.scatter_matrix_data(df.select("i", "x"), ["i", "x"], 2)
     assert sample.count() == 2 and lines.first().n == 4
+
+
+def test_sample_of_copies(spark):
+    df = spark.range(30_000).select(F.when(F.col("id") < 10_000, -1).otherwise(F.col("id") % 4).alias("v"))
+    drawn = rows.sample_rows(df, 3000)
+    got = {r.v: r["count"] for r in drawn.groupBy("v").count().collect()}
+    assert sum(got.values()) == 3000 and 850 < got[-1] < 1150 and all(400 < got[v] < 600 for v in range(4))
+    assert sorted(drawn.collect()) == sorted(rows.sample_rows(df.repartition(7), 3000).collect())
+    assert rows.sample_rows(df, 40_000).count() == 30_000
