@@ -7,7 +7,9 @@ import math
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from .bins import average_ranks
 from .common import col, is_numeric, levels_of, listed, named, need_columns, numeric_columns
 from .moments import group_moments
 from .reshape import unpivot
+from .rows import sample_rows
 
 ALTERNATIVES = ("two-sided", "greater", "less")
 
@@ -283,37 +286,75 @@ def spearman_frame(df: DataFrame, a: str, b: str) -> DataFrame:
     return sums.select(F.try_divide(F.col("ab"), F.sqrt(F.col("aa") * F.col("bb"))).alias("r"), F.coalesce("n", F.lit(0.0)).cast("long").alias("n"))
 
 
-def _kendall(pairs: list[tuple[float, float]]) -> float:
-    """tau-b by merge counting."""
-    n = len(pairs)
-    pairs = sorted(pairs)
-    ties = lambda xs: sum(k * (k - 1) // 2 for k in (len(list(g)) for _, g in itertools.groupby(sorted(xs))))
-    swaps = 0
-
-    def merge(v: list) -> list:
-        nonlocal swaps
-        if len(v) < 2:
-            return v
-        left, right, out, i = merge(v[: len(v) // 2]), merge(v[len(v) // 2 :]), [], 0
-        for y in right:
-            while i < len(left) and left[i] <= y:
-                out.append(left[i])
-                i += 1
-            swaps += len(left) - i
-            out.append(y)
-        return out + left[i:]
-
-    merge([b for _, b in pairs])
-    total = n * (n - 1) // 2
-    tx, ty, txy = ties([a for a, _ in pairs]), ties([b for _, b in pairs]), ties(pairs)
-    root = math.sqrt((total - tx) * (total - ty)) if n else 0
-    return (total - tx - ty + txy - 2 * swaps) / root if root else math.nan
-
-
-def correlation(data, vars=None, method: str = "pearson", sample: int = 1_000_000) -> Result:
+def _balance(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> int:
+    """Weight of the concordant less that of the discordant pairs of points, one bit of the rank of x after another."""
+    x, y = np.unique(x, return_inverse=True)[1], np.unique(y, return_inverse=True)[1]
+    order = np.argsort(y, kind="stable")
+    x, y, w = x[order], y[order], w[order].astype(np.int64)
+    wide = int(w.sum()) >= 1 << 31  # products may need more than 64 bits
+
+    def runs(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the run of each element begins and ends."""
+        at = np.flatnonzero(np.concatenate([[True], new]))
+        length = np.diff(np.append(at, len(x)))
+        return np.repeat(at, length), np.repeat(at + length, length)
+
+    out = 0
+    for bit in range(int(x.max(initial=0)).bit_length()):
+        node = x >> (bit + 1)
+        order = np.argsort(node, kind="stable")  # by y in each node
+        node, v, up = node[order], y[order], (x[order] >> bit) & 1
+        left = np.concatenate([[0], np.cumsum(np.where(up == 0, w[order], 0))])
+        inside = node[1:] != node[:-1]
+        begin, end = runs(inside)
+        tie, over = runs(inside | (v[1:] != v[:-1]))
+        net, weight = (left[tie] - left[begin]) - (left[end] - left[over]), w[order] * up
+        out += int(np.dot(weight.astype(object), net.astype(object))) if wide else int(np.dot(weight, net))
+    return out
+
+
+def kendall_tau(df: DataFrame, a: str, b: str, lot: int = 200_000) -> float:
+    """tau-b of all rows with both values, exact at every size.
+
+    Distinct pairs are counted, and each column is cut into parts at quantiles; a value that is a cut is a part of its own.
+    Two points in different parts of both columns are compared by their parts, those in one part of b by their values, and
+    those in one part of a only by a's value and b's part: so no task sees more than about `lot` pairs, or 1/512 of them
+    and the counts of 1,025^2 parts.
+    """
+    both = df.filter(col(a).isNotNull() & col(b).isNotNull()).select(col(a).cast("double").alias("a"), col(b).cast("double").alias("b"))
+    cells = both.groupBy("a", "b").agg(F.count("*").alias("w")).persist()
+    exact = lambda c: c.cast("decimal(19,0)")
+    tied = lambda d: int(d.agg(F.sum(exact(F.col("w")) * exact(F.col("w") - 1))).first()[0] or 0) // 2
+    txy, tx, ty = tied(cells), *(tied(cells.groupBy(c).agg(F.sum("w").alias("w"))) for c in ("a", "b"))
+    size, n = cells.agg(F.count("*"), F.sum("w")).first()
+    total = (n or 0) * ((n or 0) - 1) // 2
+    if total == tx or total == ty:
+        cells.unpersist()
+        return math.nan
+    parts = min(512, max(1, -(-size // lot)))
+    points = [i / parts for i in range(1, parts)]
+
+    def part(c: str, cuts: list[float]) -> Column:
+        array = F.array(*map(F.lit, cuts)).cast("array<double>")
+        return (2 * F.size(F.filter(array, lambda x: x < F.col(c))) + F.array_contains(array, F.col(c)).cast("int")).cast("int")
+
+    cuts = cells.agg(*[F.percentile_approx(c, points, 10_000) for c in ("a", "b")]).first() if points else ([], [])
+    placed = cells.select("a", "b", "w", *[part(c, sorted(set(x))).alias(f"p{c}") for c, x in zip(("a", "b"), cuts, strict=True)])
+    part_of = lambda kind, p, x, y: placed.groupBy(F.lit(kind).alias("kind"), p.alias("part"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.sum("w").alias("w"))
+    every = part_of(0, F.lit(0), "pa", "pb").union(part_of(1, F.col("pa"), "a", "pb").filter("part % 2 = 0")).union(part_of(2, F.col("pb"), "a", "b").filter("part % 2 = 0"))
+
+    def count(group: pa.Table) -> pa.Table:
+        return pa.table({"net": [str(_balance(*(group.column(c).to_numpy() for c in ("x", "y", "w"))))]})
+
+    net = sum(int(r.net) for r in every.groupBy("kind", "part").applyInArrow(count, "net string").collect())
+    cells.unpersist()
+    return net / math.sqrt((total - tx) * (total - ty))
+
+
+def correlation(data, vars=None, method: str = "pearson", sample: int | None = None) -> Result:
     """Pairwise correlations over rows with both values: rows (var_x, var_y, r, p_value, cov, n); matrices with a 0 diagonal.
 
-    kendall runs on the driver over at most `sample` rows (by hash; a documented bound), since counting inversions is sequential.
+    kendall counts all pairs of rows; only with `sample` it takes so many rows at most, and n and p_value are those of the sample.
     """
     d = named(data)
     df = d.df
@@ -337,8 +378,9 @@ def correlation(data, vars=None, method: str = "pearson", sample: int = 1_000_00
             r = spearman_frame(df, a, b).first().r
         elif method == "kendall":
             kept = df.filter(both[a, b]).select(col(a), col(b))
-            kept = kept.orderBy(F.xxhash64(col(a), col(b))).limit(sample) if n > sample else kept
-            r = _kendall([tuple(x) for x in kept.collect()])
+            if sample is not None and n > sample:
+                kept, n = sample_rows(kept, sample), sample
+            r = kendall_tau(kept, a, b)
         r = math.nan if r is None or n < 2 else r
         if method == "kendall":
             z = r / math.sqrt(2 * (2 * n + 5) / (9 * n * (n - 1))) if n > 1 else math.nan

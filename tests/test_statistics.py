@@ -1,7 +1,11 @@
 import math
 import random
+from collections import Counter
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyframe.functions import special as S
 from tallyframe.functions import text as X
@@ -115,6 +119,31 @@ def test_correlation(spark):
         H.correlation(df, method="guess")
 
 
+def test_kendall_of_all_rows(spark):
+    def brute(counts):
+        points = list(counts.items())
+        net = sum(v * w * (((a - x) * (b - y) > 0) - ((a - x) * (b - y) < 0)) for i, ((a, b), v) in enumerate(points) for (x, y), w in points[:i])
+        n, pairs = sum(counts.values()), lambda c: sum(k * (k - 1) // 2 for k in c.values())
+        tx, ty = Counter(), Counter()
+        for (a, b), k in points:
+            tx[a] += k
+            ty[b] += k
+        return net / math.sqrt((n * (n - 1) // 2 - pairs(tx)) * (n * (n - 1) // 2 - pairs(ty)))
+
+    rng = random.Random(3)
+    drawn = [(x, x // 3 + rng.randint(0, 9)) for x in (rng.choice([7, rng.randint(0, 60)]) for _ in range(1500))]
+    df = spark.createDataFrame(drawn, "a int, b int").repartition(3)
+    for lot in (20, 150, 10**6):
+        assert H.kendall_tau(df, "a", "b", lot) == pytest.approx(brute(Counter(drawn)), abs=1e-12)
+    tied = {(1, 1): 1_200_000, (2, 2): 300, (3, 1): 200, (4, 5): 500}
+    pairs = reduce(DataFrame.unionByName, [spark.range(k).select(F.lit(a).alias("a"), F.lit(b).alias("b")) for (a, b), k in tied.items()])
+    one = H.correlation(pairs, method="kendall").comparisons[0]
+    assert one["n"] == 1_201_000 and one["r"] == pytest.approx(brute(tied), abs=1e-12)
+    sampled = H.correlation(df, method="kendall", sample=1000).comparisons[0]
+    z = sampled["r"] / math.sqrt(2 * 2005 / (9 * 1000 * 999))
+    assert sampled["n"] == 1000 and sampled["p_value"] == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), rel=1e-3)
+
+
 def test_crosstabs_and_goodness(spark):
     df = spark.createDataFrame(list(zip([0, 1, 1, 1, 0, 0, 0, None], [2, 1, 1, 1, 2, 2, 10, 1], strict=True)), "x long, y long")
     r = H.cross_tabs(df, "x", "y")
