@@ -25,17 +25,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", F.col("clean").alias("text"), "lang", "source", F.length("clean").cast("long").alias("n_chars"))
 
 
+def _with_keys(docs: DataFrame) -> DataFrame:
+    """The documents with a key for each row, settled so that it stays; ids may be null or repeated."""
+    return settle(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id stays, and of repeated ids one row."""
-    found = jaccard_components(docs.select("doc_id", "text"))
-    away = found.filter("component_id != doc_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(away, "doc_id", "left_anti")
-    twice = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    if twice.isEmpty():
-        return kept
-    again = kept.join(twice.select("doc_id"), "doc_id", "left_semi")
-    once = again.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("d")).select("doc_id", "d.*")
-    return kept.join(twice.select("doc_id"), "doc_id", "left_anti").unionByName(once)
+    """Of each group of linked documents the row with the least id stays (null ids last); what is linked with nothing stays."""
+    rows = _with_keys(docs)
+    found = jaccard_components(rows.select("row", "text"), "row").select("row", "component_id")
+    groups = found.groupBy("component_id").agg(F.count("*").alias("n")).filter("n > 1").select("component_id")
+    linked = settle(found.join(groups, "component_id"))
+    named = linked.join(rows.select("row", "doc_id"), "row")
+    stays = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))["row"].alias("stays"))
+    away = linked.join(stays, "component_id").filter("row != stays").select("row")
+    return rows.join(away, "row", "left_anti").select(*COLUMNS)
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +51,10 @@ def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, whole; one that it takes twice is there twice."""
-    taken = fair_mix(docs).filter("taken > 0").select(F.col("doc_id").alias("id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    rows = _with_keys(docs)
+    taken = fair_mix(rows, keep=["row"]).filter("taken > 0").select("row", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("copies"))
     # One strategy at every size: texts are shuffled once and never sorted, the small side is the hash table.
-    chosen = docs.select(*COLUMNS).join(settle(taken).hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")))
+    chosen = rows.join(settle(taken).hint("shuffle_hash"), "row")
     return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 

@@ -40,8 +40,8 @@ def water_fill(sizes: list[int], weights: list[float], budget: float, most: floa
             targets[i] = float(most * sizes[i])
 
 
-def fair_mix(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", *, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 7) -> DataFrame:
-    """(id, source, size, source_size, target, taken, finish) of each row, in the order of the mix (a global range sort).
+def fair_mix(df: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", *, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 7, keep: list[str] | None = None) -> DataFrame:
+    """(id, source, size, source_size, target, taken, finish) of each row, in the order of the mix (a global range sort), and the columns in `keep`.
 
     size: words; null texts have none and are never taken. Sources by code point, null last, get `weights` in turn and
     share `share` times all words; no target is over `most` (1 or 2) times its source, the rest is shared again by weight.
@@ -50,7 +50,8 @@ def fair_mix(df: DataFrame, id_column: str = "doc_id", text: str = "text", sourc
     gives no rows. Sources are a list that fits the driver (one row each is gathered); rows never are: running totals
     come from totals of 4,096 slots of the random order in each source, so a hot source is many window groups.
     """
-    base = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), F.xxhash64(F.lit(seed), F.col(f"`{id_column}`"), F.col(f"`{text}`")).alias("key"))
+    kept = [F.col(f"`{c}`") for c in keep or []]
+    base = df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), F.xxhash64(F.lit(seed), F.col(f"`{id_column}`"), F.col(f"`{text}`")).alias("key"), *kept)
     base = settle(base)
     spark = df.sparkSession
     totals = sorted((r.source is None, r.source or "", r.n) for r in base.groupBy("source").agg(F.sum("size").alias("n")).collect())
@@ -68,7 +69,7 @@ def fair_mix(df: DataFrame, id_column: str = "doc_id", text: str = "text", sourc
     served = (F.col("size") > 0) & (F.col("target") > 0)
     finish = lambda copy: F.when(served, (F.col("upto") + copy * F.col("source_size")) / F.col("target"))
     order = lambda copy: F.struct(finish(copy).alias("finish"), F.col("s").alias("s"), F.lit(copy).alias("copy"), F.col("upto").alias("upto"))
-    docs = settle(docs.select("id", "source", "s", "size", "source_size", "target", "upto", *[order(c).alias(f"turn{c}") for c in range(most)]))
+    docs = settle(docs.select("id", "source", "s", "size", "source_size", "target", "upto", *kept, *[order(c).alias(f"turn{c}") for c in range(most)]))
 
     # The step of virtual time in which the budget ends, then the document in it; up to two times all targets in equal steps, then in ever longer ones.
     step = lambda t: F.when(t <= 2, F.floor(t * _STEPS)).otherwise(2 * _STEPS + F.floor(F.log2(t) * 64)).cast("long")
@@ -86,7 +87,7 @@ def fair_mix(df: DataFrame, id_column: str = "doc_id", text: str = "text", sourc
             turn = F.col(f"turn{c}")
             taken = taken + F.when(turn["finish"].isNull(), 0).when(turn < cut, F.col("size")).when(turn == cut, F.lit(end.part)).otherwise(0)
     out = docs.withColumn("taken", taken.cast("long")).withColumn("finish", F.col("turn0.finish"))
-    return out.orderBy("finish", "s", "upto").select(F.col("id").alias(id_column), F.col("source").alias(source), "size", "source_size", "target", "taken", "finish")
+    return out.orderBy("finish", "s", "upto").select(F.col("id").alias(id_column), F.col("source").alias(source), "size", "source_size", "target", "taken", "finish", *kept)
 
 
 def op4_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,3 +47,17 @@ def test_edges(spark, empty):
         docs = settle(stage(spark, docs, d))
     assert docs.count() == 0
     assert [n for n, _ in P.STAGES] and P.ORACLE_SQL is None
+
+
+def test_null_and_repeated_ids(spark, empty):
+    text = lambda name: "good " + " ".join(f"{name}{i}" for i in range(80)) + "."
+    a, b, c, e = map(text, "abce")
+    near = a.replace("a79", "other")
+    rows = [(None, a, None, "s", 5), (None, near, None, "s", 5), (1, b, None, "s", 5), (2, b, None, "s", 5), (2, c, None, "s", 5), (3, e, None, "s", 5), (3, text("f"), None, "s", 5), (None, text("g"), None, "s", 5), (None, text("h"), None, "s", 5)]
+    d = "/root/testdata/sf0.001"
+    kept = settle(P.deduplicate(spark, spark.createDataFrame(rows, empty.schema), d))
+    got = Counter((r.doc_id, r.text[5]) for r in kept.collect())
+    assert got == Counter([(None, "a"), (1, "b"), (2, "c"), (3, "e"), (3, "f"), (None, "g"), (None, "h")])
+    mixed = Counter((r.doc_id, r.text) for r in P.mix(spark, spark.createDataFrame(rows, empty.schema), d).collect())
+    assert set(mixed.values()) <= {1, 2} and sum(mixed.values()) == 14  # 1.5 times 9 documents of one size, the last one whole
+    assert P.deduplicate(spark, spark.createDataFrame([(4, "", None, "s", 0), (4, "", None, "s", 0)], empty.schema), d).count() == 2
