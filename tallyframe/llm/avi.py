@@ -120,21 +120,26 @@ class Video:
 
 
 def read_avi(data: bytes) -> Video:
-    """Frames in the order of the index (of all chunks of the movi list, if there is none); raises ValueError for other files."""
+    """Frames of all RIFF chunks (AVI and AVIX) in the order of the indexes (indx and ix##, else idx1 for the first movi
+    list), or of the movi lists where there is none. A frame without bytes repeats the one before it. Raises ValueError
+    for other files, and for those that end before their frames do.
+    """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("no AVI file")
-    scale, rate, codec, movi, index = 1, 0, b"", None, None
+    scale, rate, codec, lists, index, supers = 1, 0, b"", [], None, {}
     video, streams = 0, 0
 
     def walk(at: int, end: int) -> None:
-        nonlocal scale, rate, codec, movi, index, video, streams
+        nonlocal scale, rate, codec, index, video, streams
         while at + 8 <= end:
             name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
             body, stop = at + 8, min(at + 8 + size, end)
             if name == b"LIST":
                 kind = data[body : body + 4]
                 if kind == b"movi":
-                    movi = body, stop
+                    if body + size > len(data):
+                        raise ValueError("the file ends inside its frames")
+                    lists.append((body, stop))
                 else:
                     walk(body + 4, stop)
             elif name == b"strh":
@@ -142,28 +147,74 @@ def read_avi(data: bytes) -> Video:
                     codec, video = data[body + 4 : body + 8], streams
                     scale, rate = struct.unpack_from("<II", data, body + 20)
                 streams += 1
-            elif name == b"idx1":
+            elif name == b"indx":
+                supers[streams - 1] = body, stop
+            elif name == b"idx1" and index is None:
                 index = np.frombuffer(data[body : body + (stop - body) // 16 * 16], "<u4").reshape(-1, 4)
             at = body + size + size % 2
 
-    walk(12, min(len(data), 8 + int.from_bytes(data[4:8], "little")))
-    if movi is None or not rate or codec.upper() != b"MJPG":
+    at = 0
+    while data[at : at + 4] == b"RIFF" and data[at + 8 : at + 12] in (b"AVI ", b"AVIX"):
+        size = int.from_bytes(data[at + 4 : at + 8], "little")
+        walk(at + 12, min(len(data), at + 8 + size))
+        at += 8 + size + size % 2
+    if not lists or not rate or codec.upper() != b"MJPG":
         raise ValueError("no motion JPEG stream")
     wanted = {int.from_bytes(b"%02d" % video + x, "little") for x in (b"dc", b"db")}
-    frames = []
-    if index is not None and len(index):
-        rows = index[np.isin(index[:, 0], list(wanted))]
-        # Offsets count from the list's name, or from the start of the file.
-        first = int(rows[0, 2]) if len(rows) else 0
-        base = movi[0] if data[movi[0] + first : movi[0] + first + 4] == int(rows[0, 0]).to_bytes(4, "little") else 0
-        frames = [data[base + o + 8 : base + o + 8 + n] for o, n in zip(rows[:, 2].tolist(), rows[:, 3].tolist(), strict=True)]
-    else:
-        at = movi[0] + 4
-        while at + 8 <= movi[1]:
+
+    def scan(at: int, end: int) -> Iterator[tuple[int, int]]:
+        while at + 8 <= end:
             name, size = int.from_bytes(data[at : at + 4], "little"), int.from_bytes(data[at + 4 : at + 8], "little")
-            if name in wanted:
-                frames.append(data[at + 8 : at + 8 + size])
+            if data[at : at + 4] == b"LIST":
+                yield from scan(at + 12, min(at + 8 + size, end))
+            elif name in wanted:
+                yield at + 8, size
             at += 8 + size + size % 2
+
+    def listed(body: int, stop: int, inner: bool = False) -> Iterator[tuple[int, int]]:
+        """Places and sizes by an index of chunks, or by an index of such."""
+        kind, n = data[body + 3], int.from_bytes(data[body + 4 : body + 8], "little")
+        if body + 24 + n * (16 if kind == 0 else 8) > stop:
+            raise ValueError("an index is too short")
+        if kind == 0 and not inner:
+            for at, size, _ in struct.iter_unpack("<QII", data[body + 24 : body + 24 + 16 * n]):
+                if data[at : at + 2] != b"ix":
+                    raise ValueError("the file ends before an index")
+                yield from listed(at + 8, min(at + size, len(data)) if size else len(data), True)
+        else:
+            longs, base = int.from_bytes(data[body : body + 2], "little"), int.from_bytes(data[body + 12 : body + 20], "little")
+            if kind != 1 or longs != 2:
+                raise ValueError("an index of an unknown kind")
+            for at, size in struct.iter_unpack("<II", data[body + 24 : body + 24 + 8 * n]):
+                yield base + at, size & 0x7FFFFFFF  # the highest bit: no key frame
+
+    places: list[tuple[int, int]] = []
+    if video in supers:
+        places = list(listed(*supers[video]))
+    if not places:
+        rows = index[np.isin(index[:, 0], list(wanted))] if index is not None else np.zeros((0, 4), "<u4")
+        if len(rows):
+            # Offsets count from the list's name, or from the start of the file.
+            first = int(rows[0, 2])
+            base = lists[0][0] if data[lists[0][0] + first : lists[0][0] + first + 4] == int(rows[0, 0]).to_bytes(4, "little") else 0
+            places = [(base + o + 8, n) for o, n in zip(rows[:, 2].tolist(), rows[:, 3].tolist(), strict=True)]
+        for body, stop in lists[1 if len(rows) else 0 :]:
+            places += scan(body + 4, stop)
+    if any(at + n > len(data) for at, n in places):
+        raise ValueError("the file ends inside its frames")
+    frames: list[bytes] = []
+    early = 0  # frames without bytes before the first one that has some
+    for at, n in places:
+        if n:
+            frames.append(data[at : at + n])
+            frames += frames[:1] * early
+            early = 0
+        elif frames:
+            frames.append(frames[-1])
+        else:
+            early += 1
+    if early:
+        raise ValueError("no frame has bytes")
     return Video(rate / scale, frames)
 
 
@@ -181,6 +232,26 @@ class _Header:
 _headers: dict[bytes, _Header] = {}
 
 
+def _runs(text: str) -> bytes:
+    """Bytes in hexadecimal, a-b for all from a to b."""
+    return bytes(x for part in text.split() for x in range(int(part[:2], 16), int(part[-2:], 16) + 1))
+
+
+#: The Huffman tables of the JPEG standard (counts of the lengths 1 to 16, symbols), which motion JPEG may leave out.
+STANDARD_TABLES = {
+    0x00: ("00 01 05 01 01 01 01 01 01 00 00 00 00 00 00 00", "00-0b"),
+    0x01: ("00 03 01 01 01 01 01 01 01 01 01 00 00 00 00 00", "00-0b"),
+    0x10: (
+        "00 02 01 03 03 02 04 03 05 05 04 04 00 00 01 7d",
+        "01-03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82 09-0a 16-1a 25-2a 34-3a 43-4a 53-5a 63-6a 73-7a 83-8a 92-9a a2-aa b2-ba c2-ca d2-da e1-ea f1-fa",
+    ),
+    0x11: (
+        "00 02 01 02 04 04 03 04 07 05 04 04 00 01 02 77",
+        "00-03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1 17-1a 26-2a 35-3a 43-4a 53-5a 63-6a 73-7a 82-8a 92-9a a2-aa b2-ba c2-ca d2-da e2-ea f2-fa",
+    ),
+}
+
+
 def _lookup(lengths: list[int], symbols: bytes) -> np.ndarray:
     """For each 16 bits that may follow: symbol * 32 + length of the code, 0 where there is none."""
     out = np.zeros(1 << 16, np.int32)
@@ -219,6 +290,7 @@ def parse_header(jpeg: bytes) -> _Header:
         elif 0xC2 <= marker <= 0xCF and marker != 0xC8 and marker != 0xCC:
             raise ValueError("only baseline JPEG is decoded")
         elif marker == 0xDA:
+            tables = tables or {k: _lookup(list(_runs(n)), _runs(symbols)) for k, (n, symbols) in STANDARD_TABLES.items()}
             parts = [(body[1 + 2 * i], *shape[body[1 + 2 * i]], tables[body[2 + 2 * i] >> 4], tables[0x10 | body[2 + 2 * i] & 15]) for i in range(body[0])]
             return _Header(width, height, parts, quant, tables, restart, at + 2 + size)
         at += 2 + size

@@ -135,3 +135,52 @@ def test_query(spark):
     texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in rows:
         assert r.payload_sha256 == hashlib.sha256(A.payload_of(texts[r.doc_id])).hexdigest()
+
+
+def _chunk(name, data):
+    return name + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
+
+
+def _film(movis, indx=False, idx1=False):
+    """An AVI file with one RIFF chunk for each list of frames, the frames of each in two `rec ` lists."""
+    stream = _chunk(b"strh", b"vidsMJPG" + struct.pack("<IHHIIIIIIII4H", 0, 0, 0, 0, 1, 10, 0, 0, 0, 0, 0, 0, 0, 0, 0))
+    hdrl = lambda entries: _chunk(b"LIST", b"hdrl" + _chunk(b"LIST", b"strl" + stream + (_chunk(b"indx", struct.pack("<HBBI4s3I", 4, 0, 0, len(entries), b"00dc", 0, 0, 0) + b"".join(struct.pack("<QII", *e) for e in entries)) if indx else b"")))
+    head = len(hdrl([(0, 0, 0)] * len(movis)))
+    out, entries = b"", []
+    for i, frames in enumerate(movis):
+        start = len(out) + 12 + (0 if i else head) + 12
+        body, at = b"", []
+        for half in (frames[: len(frames) // 2], frames[len(frames) // 2 :]):
+            rec = b"rec "
+            for f in half:
+                at.append((len(body) + 8 + len(rec) + 8, len(f)))
+                rec += _chunk(b"00dc", f)
+            body += _chunk(b"LIST", rec)
+        if indx:
+            ix = _chunk(b"ix00", struct.pack("<HBBI4sQI", 2, 0, 1, len(at), b"00dc", start, 0) + b"".join(struct.pack("<II", o, n | 1 << 31) for o, n in at))
+            entries.append((start + len(body), len(ix), len(at)))
+            body += ix
+        rows = b"".join(b"00dc" + struct.pack("<III", 16, o - 8 + 4, n) for o, n in at)
+        movi = _chunk(b"LIST", b"movi" + body) + (_chunk(b"idx1", rows) if idx1 and not i else b"")
+        out += _chunk(b"RIFF", b"AVIX" + movi) if i else _chunk(b"RIFF", b"AVI " + b"\0" * head + movi)
+    return out[:12] + hdrl(entries or [(0, 0, 0)] * len(movis)) + out[12 + head :]
+
+
+@pytest.mark.parametrize("indexes", [{}, {"indx": True}, {"idx1": True}, {"indx": True, "idx1": True}])
+def test_all_frames_of_all_chunks(indexes):
+    a, b, c, d = (A.read_avi(A.write_avi(bytes([v]) * A.FRAME)).frames[0] for v in (10, 60, 130, 200))
+    film = _film([[b"", a, b, b""], [c], [b"", d]], **indexes)
+    assert A.read_avi(film).frames == [a, a, b, b, c, c, d]
+    with pytest.raises(ValueError):
+        A.read_avi(film[:-300])
+    with pytest.raises(ValueError):
+        A.read_avi(_film([[b"", b""]], **indexes))
+
+
+def test_standard_tables():
+    counts = {k: (A._runs(n), A._runs(s)) for k, (n, s) in A.STANDARD_TABLES.items()}
+    assert all(sum(n) == len(s) == len(set(s)) and sum(c << (16 - i) for i, c in enumerate(n, 1)) < 1 << 16 for n, s in counts.values())
+    # One block: a difference of 3 (class 2, code 011) and the end of the block (1010), filled up with ones.
+    jpeg = b"\xff\xd8" + A._segment(0xDB, bytes([0]) + bytes([8] * 64)) + A._segment(0xC0, struct.pack(">BHHB", 8, 8, 8, 1) + bytes([1, 0x11, 0])) + A._segment(0xDA, bytes([1, 1, 0, 0, 63, 0]))
+    bits = ("011" + "11" + "1010").ljust(16, "1")
+    assert A.decode_frames([jpeg + int(bits, 2).to_bytes(2, "big") + b"\xff\xd9"])[0][0].tolist() == [[24]]
