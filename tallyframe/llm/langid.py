@@ -124,12 +124,12 @@ class LanguageFilter:
 def train_filter(df: DataFrame, text: str = "text", label: str = "lang", *, rows_per_label: int = 2000, grams_per_label: int = 12_000, sizes: tuple[int, ...] = (3, 4), bits: int = 18) -> LanguageFilter:
     """Learn a filter from rows with a label.
 
-    A bounded sample: about `rows_per_label` rows of each label, chosen by a hash of their text, each text once. Of each
+    A bounded sample: about `rows_per_label` texts of each label (all, if it has no more different ones), chosen by their hash. Of each
     label the `grams_per_label` commonest n-grams are kept, less those that are four times as common in another. The
     driver gathers that many counts for each label, and labels must be at most 64.
     """
     rows = df.filter(F.col(f"`{label}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").alias("label"))
-    n = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n = {r.label: r.n for r in rows.groupBy("label").agg(F.count_distinct(F.xxhash64("text")).alias("n")).collect()}
     if not n:
         return LanguageFilter.build({}, bits=bits, sizes=sizes)
     part = F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(min(1.0, rows_per_label / v)))])

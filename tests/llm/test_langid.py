@@ -47,3 +47,10 @@ def test_grams_stay_in_their_text():
     assert np.bincount(owner, minlength=4).tolist() == [4, 0, 1, 4]  # " ab" "ab " " cd" "cd ", " x ", ...
     alone = np.sort(np.concatenate([L.grams([t], (3,))[0] for t in texts]))
     assert (np.sort(h) == alone).all()
+
+
+def test_labels_of_copies_are_learned(spark):
+    texts = {"xx": [f"aba cede {w} fogi {w}{w}" for w in ("lomu", "pira", "suto")], "yy": [f"zwek {w} vrilk tronk" for w in ("plunk", "skrit", "dwarn")]}
+    rows = [(t, k) for k, v in texts.items() for t in v] * 300
+    model = L.train_filter(spark.createDataFrame(rows, "text string, lang string"), rows_per_label=3)
+    assert model.predict([t.encode() for v in texts.values() for t in v])[0] == ["xx"] * 3 + ["yy"] * 3
