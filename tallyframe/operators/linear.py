@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from functools import reduce
 
 import numpy as np
@@ -35,10 +36,49 @@ def _dot(columns: list[Column], beta) -> Column:
     return reduce(lambda a, b: a + b, [c * F.lit(float(b)) for c, b in zip(columns, beta, strict=True)])
 
 
+class Scale:
+    """Centres and spreads of the design columns (of one earlier aggregation), in which all algebra is done.
+
+    With an intercept a column is centred at its mean and divided by its standard deviation, without one divided by its
+    root mean square; a constant column is left to the intercept. `back` takes coefficients to the raw columns.
+    """
+
+    def __init__(self, df: DataFrame, xs: list[Column], intercept: bool, extra: Column | None = None):
+        at = range(int(intercept), len(xs))
+        aggs = [a for i in at for a in (F.avg(xs[i]).alias(f"m{i}"), F.stddev_pop(xs[i]).alias(f"s{i}"), F.avg(xs[i] * xs[i]).alias(f"q{i}"))]
+        row = df.agg(F.count("*").alias("n"), *([F.avg(extra).alias("extra")] if extra is not None else []), *aggs).first()
+        self.n, self.extra = row.n, (row["extra"] or 0.0) if extra is not None else 0.0
+        self.centre, self.spread = np.zeros(len(xs)), np.ones(len(xs))
+        for i in at:
+            m, s = row[f"m{i}"] or 0.0, row[f"s{i}"] or 0.0
+            if intercept:
+                constant = s <= 1e-13 * abs(m)
+                self.centre[i], self.spread[i] = m, 1.0 if constant else s
+            else:
+                self.spread[i] = math.sqrt(row[f"q{i}"] or 0.0) or 1.0
+        self.back = np.diag(1 / self.spread)
+        if intercept:
+            self.back[0, 1:] = -self.centre[1:] / self.spread[1:]
+
+    def columns(self, xs: list[Column]) -> list[Column]:
+        return [(x - F.lit(float(m))) / F.lit(float(s)) if m or s != 1 else x for x, m, s in zip(xs, self.centre, self.spread, strict=True)]
+
+
+def _inverse(g: np.ndarray, names: list[str]) -> tuple[np.ndarray, int]:
+    """Pseudo-inverse and rank of a scaled Gram matrix; warns of columns that others determine."""
+    inv, rank = np.linalg.pinv(g, hermitian=True), int(np.linalg.matrix_rank(g, hermitian=True))
+    if rank < len(g):
+        warnings.warn(f"Only {rank} of {len(g)} design columns are independent: {', '.join(names)}", stacklevel=3)
+    return inv, rank
+
+
 class _Model:
     design: Design
+    scale: Scale
     beta: np.ndarray
     cov: np.ndarray
+    beta_z: np.ndarray
+    cov_z: np.ndarray
     rvar: str
 
     def _setup(self, data, rvar, evar, ivar, formula, levels) -> DataFrame:
@@ -72,15 +112,15 @@ class _Model:
         at = [i for i, t in enumerate(self.terms) if t != "Intercept" and any(v in keep_out for v in [t, *Design._variables(t)])]
         if not at:
             raise ValueError(f"No terms with {', '.join(keep_out)}")
-        b = self.beta[at]
-        return float(b @ np.linalg.pinv(self.cov[np.ix_(at, at)]) @ b), len(at), at
+        b = self.beta_z[at]
+        return float(b @ np.linalg.pinv(self.cov_z[np.ix_(at, at)]) @ b), len(at), at
 
     def vif(self) -> list[dict]:
         """Variance inflation of each term: by determinants of correlations for terms of several columns, classic else."""
         at = [i for i, n in enumerate(self.names) if n != "Intercept"]
         if not self.design.intercept or len(at) < 2:
             return []
-        g, n = self.gram_x, self.nobs
+        g, n = self.gram_z, self.gram_z[0, 0]
         i0 = self.names.index("Intercept")
         c = g[np.ix_(at, at)] - np.outer(g[at, i0], g[i0, at]) / n
         sd = np.sqrt(np.diag(c))
@@ -102,32 +142,39 @@ class _Model:
         if data_cmd:
             df = df.withColumns({k: F.lit(v) for k, v in data_cmd.items()})
         df = self.design.check(df)
-        xs = [c for _, _, c in self.design.columns()]
-        quad = reduce(lambda a, b: a + b, [xs[i] * xs[j] * F.lit(float(self.cov[i, j]) * (1 if i == j else 2)) for i in range(len(xs)) for j in range(i, len(xs))])
-        return df, _dot(xs, self.beta), F.sqrt(F.greatest(quad, F.lit(0.0))) * F.lit(S.norm_ppf((1 + conf) / 2))
+        xs = self.scale.columns([c for _, _, c in self.design.columns()])
+        quad = reduce(lambda a, b: a + b, [xs[i] * xs[j] * F.lit(float(self.cov_z[i, j]) * (1 if i == j else 2)) for i in range(len(xs)) for j in range(i, len(xs))])
+        return df, _dot(xs, self.beta_z), F.sqrt(F.greatest(quad, F.lit(0.0))) * F.lit(S.norm_ppf((1 + conf) / 2))
 
 
 class regress(_Model):
-    """Least squares by the normal equations: one aggregation for X'X and X'y, one for the residuals."""
+    """Least squares by the normal equations of centred and scaled columns: one aggregation for centres and spreads, one
+    for X'X and X'y, one for the residuals. Coefficients and covariances are those of the raw columns."""
 
     def __init__(self, data, rvar: str | None = None, evar=None, ivar=None, formula: str | None = None, levels: dict | None = None):
         df = self._setup(data, rvar, evar, ivar, formula, levels)
         self.data = df
         full = self.design.complete(df, self.rvar)
-        xs = [c for _, _, c in self.design.columns()]
+        raw = [c for _, _, c in self.design.columns()]
         y = col(self.rvar).cast("double")
-        g, sums = gram(full, [*xs, y], {"y": y})
+        self.scale = Scale(full, raw, self.design.intercept, y)
+        middle = self.scale.extra if self.design.intercept else 0.0
+        xs, yc = self.scale.columns(raw), y - F.lit(float(middle))
+        g, sums = gram(full, [*xs, yc], {"y": yc})
         k = len(xs)
-        self.gram_x, xy, yy, n = g[:k, :k], g[:k, k], g[k, k], sums["n"]
+        self.gram_z, xy, yy, n = g[:k, :k], g[:k, k], g[k, k], sums["n"]
         self.nobs, self.nobs_dropped = n, df.count() - n
-        inv = np.linalg.pinv(self.gram_x)
-        self.beta = inv @ xy
-        rank = int(np.linalg.matrix_rank(self.gram_x))
-        e = y - _dot(xs, self.beta)
+        inv, rank = _inverse(self.gram_z, self.names)
+        self.beta_z = inv @ xy
+        e = yc - _dot(xs, self.beta_z)
         self.sse = full.agg(F.sum(e * e)).first()[0] or 0.0
+        if self.design.intercept and k:
+            self.beta_z[0] += middle
+        self.beta = self.scale.back @ self.beta_z
         self.df_resid, self.df_model = n - rank, rank - bool(self.design.intercept)
         s2 = self.sse / self.df_resid if self.df_resid > 0 else math.nan
-        self.cov = inv * s2
+        self.cov_z = inv * s2
+        self.cov = self.scale.back @ self.cov_z @ self.scale.back.T
         self.sst = yy - sums["y"] ** 2 / n if self.design.intercept and n else yy
         self.rsq = 1 - self.sse / self.sst if self.sst else math.nan
         self.rsq_adj = 1 - (1 - self.rsq) * (n - bool(self.design.intercept)) / self.df_resid if self.df_resid > 0 else math.nan
@@ -160,7 +207,8 @@ class regress(_Model):
 
 
 class logistic(_Model):
-    """Binomial regression with frequency weights: each step of the iteration is one weighted Gram aggregation."""
+    """Binomial regression with frequency weights: each step of the iteration is one weighted Gram aggregation over centred
+    and scaled columns. Coefficients and covariances are those of the raw columns."""
 
     def __init__(self, data, rvar: str | None = None, lev=None, evar=None, ivar=None, formula: str | None = None, weights: str | None = None, levels: dict | None = None, max_iter: int = 30, tol: float = 1e-10):
         df = self._setup(data, rvar, evar, ivar, formula, levels)
@@ -170,7 +218,8 @@ class logistic(_Model):
         xs = [c for _, _, c in self.design.columns()]
         k = len(xs)
         w = col(weights).cast("double") if weights else F.lit(1.0)
-        full = full.select(*[x.alias(f"_x{i}") for i, x in enumerate(xs)], y.alias("_y"), w.alias("_w")).persist()
+        self.scale = Scale(full, xs, self.design.intercept)
+        full = full.select(*[x.alias(f"_x{i}") for i, x in enumerate(self.scale.columns(xs))], y.alias("_y"), w.alias("_w")).persist()
         xs, y, w = [F.col(f"_x{i}") for i in range(k)], F.col("_y"), F.col("_w")
         totals = full.agg(F.sum("_w"), F.sum(F.col("_w") * F.col("_y")), F.count("*")).first()
         n, ones = totals[0] or 0.0, totals[1] or 0.0
@@ -178,24 +227,28 @@ class logistic(_Model):
             full.unpersist()
             raise ValueError(f"All values of {self.rvar} are alike")
         self.nobs, self.nobs_dropped = n, df.count() - totals[2]
-        self.beta, before, self.converged = np.zeros(k), -math.inf, False
+        self.beta_z, before, self.converged = np.zeros(k), -math.inf, False
         for _ in range(max_iter):
-            eta = _dot(xs, self.beta)
+            eta = _dot(xs, self.beta_z)
             p = 1 / (1 + F.exp(-eta))
             ll = w * (y * eta - F.when(eta > 30, eta).otherwise(F.log1p(F.exp(F.least(eta, F.lit(30.0))))))
             score = {f"u{i}": w * x * (y - p) for i, x in enumerate(xs)}
             g, sums = gram(full, xs, score | {"ll": ll}, w * p * (1 - p))
             self.llf = sums["ll"]
-            self.cov = np.linalg.pinv(g)
+            self.cov_z = np.linalg.pinv(g, hermitian=True)
             if abs(self.llf - before) < tol * (abs(self.llf) + 0.1):
                 self.converged = True
                 break
             before = self.llf
-            step = self.cov @ np.array([sums[f"u{i}"] for i in range(k)])
+            step = self.cov_z @ np.array([sums[f"u{i}"] for i in range(k)])
             largest = np.abs(step).max()
-            self.beta = self.beta + step * min(1.0, 10 / largest if largest else 1.0)
-        self.gram_x, _ = gram(full, xs, None, w)
+            self.beta_z = self.beta_z + step * min(1.0, 10 / largest if largest else 1.0)
+        self.gram_z, _ = gram(full, xs, None, w)
         full.unpersist()
+        _inverse(self.gram_z, self.names)
+        if not self.converged:
+            warnings.warn(f"Not converged after {max_iter} steps", stacklevel=2)
+        self.beta, self.cov = self.scale.back @ self.beta_z, self.scale.back @ self.cov_z @ self.scale.back.T
         rate = ones / n
         self.ll_null = ones * math.log(rate) + (n - ones) * math.log(1 - rate)
         self.k = k

@@ -184,3 +184,26 @@ def test_importance_of_all_rows(spark):
     m = logistic(spark.createDataFrame(rows, "x int, b string"), "b", "yes", ["x"])
     assert explain.permutation_importance(m, rep=2).first().importance == pytest.approx(0.3, abs=0.03)
     assert explain.permutation_importance(m, rep=2, n_sample=1000).first().importance == pytest.approx(0.3, abs=0.1)
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e4, 1e6, 1e8])
+def test_regression_at_any_shift_and_scale(spark, shift):
+    rng = np.random.default_rng(3)
+    x, big, d = rng.normal(size=400), rng.normal(size=400), (rng.random(400) < 0.4) * 1.0
+    y, b = 3 * x + 5 * d + rng.normal(size=400), (rng.random(400) < 1 / (1 + np.exp(-2 * x - d))) * 1
+    df = spark.createDataFrame(pd.DataFrame({"x": x + shift, "d": d, "big": 1e8 * big, "y": y + shift, "b": b}))
+    plain = spark.createDataFrame(pd.DataFrame({"x": x, "d": d, "big": big, "y": y, "b": b}))
+    want = np.linalg.lstsq(np.c_[np.ones(400), x, d, big], y, rcond=None)[0]
+    m, p = regress(df, "y", ["x", "d", "big"]), regress(plain, "y", ["x", "d", "big"])
+    assert p.beta == pytest.approx(want, rel=1e-9)
+    assert m.beta[1:] * [1, 1, 1e8] == pytest.approx(want[1:], rel=1e-6)
+    assert (m.rsq, m.rmse, m.f_test("x")["F"]) == pytest.approx((p.rsq, p.rmse, p.f_test("x")["F"]), rel=1e-6)
+    assert [v["vif"] for v in m.vif()] == pytest.approx([v["vif"] for v in p.vif()], rel=1e-6)
+    a, c = (k.predict(ci=True).select(F.col("prediction") - F.lit(s), F.col("ci_high") - F.col("ci_low")).collect() for k, s in ((m, shift), (p, 0.0)))
+    assert np.allclose(a, c, atol=1e-5)
+    lm, lp = logistic(df, "b", 1, ["x", "d"]), logistic(plain, "b", 1, ["x", "d"])
+    assert lm.converged and lm.beta[1:] == pytest.approx(lp.beta[1:], rel=1e-5) and lm.cov[1, 1] == pytest.approx(lp.cov[1, 1], rel=1e-5)
+    flat = plain.withColumn("one", F.lit(7.0))
+    with pytest.warns(UserWarning, match="independent"):
+        assert regress(flat, "y", ["x", "one"]).beta[2] == 0
+    assert regress(plain, formula="y ~ x + d - 1").beta == pytest.approx(np.linalg.lstsq(np.c_[x, d], y, rcond=None)[0])
