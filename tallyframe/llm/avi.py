@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import slices, table
+from .shared import free_name, slices, table, with_results
 
 #: Samples of a frame, as blocks across and down, and frames a second.
 ACROSS, DOWN, RATE = 16, 12, 10
@@ -494,11 +494,12 @@ def clips(df: DataFrame, media: str = "media", *, keep: list[str] | None = None,
     results = T.StructType.fromDDL("clip int, first_frame int, end_frame int, start_s double, end_s double, brightness double, error string")
     names = {f.name for f in results}
     kept = [f for f in df.schema if f.name.lower() not in names and f.name != media and (keep is None or f.name in keep)]
-    source = df.select(F.col(f"`{media}`").alias("__media"), *[F.col(f"`{f.name}`") for f in kept])
+    body = free_name(df, "__media")
+    source = df.select(F.col(f"`{media}`").alias(body), *[F.col(f"`{f.name}`") for f in kept])
     types = [pa.int32()] * 3 + [pa.float64()] * 3 + [pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, files in slices(batches, "__media", 16 << 20):
+        for batch, files in slices(batches, body, 16 << 20):
             rows, origin = [], []
             for i, data in enumerate(files):
                 found = []
@@ -527,8 +528,6 @@ def store_texts(df: DataFrame, text: str = "text", *, media_column: str | None =
     media_sha256, feature (`<frames>:<ends of the shots, comma-joined>`) and, in `media_column`, the file. A null text counts
     as empty: one frame of blanks. Equal texts get equal values. Other columns are kept, equal names replaced.
     """
-    from .shared import with_results
-
     results = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     results += f", `{media_column}` binary" if media_column else ""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(ASCII_SPACE)] = True
 
 _own: list[str] = []
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _SPAN = 1 << 20  # bytes hashed at once
 _LONG = 1 << 16  # longer words are hashed one by one
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -30,9 +32,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the cluster names none, as in tests, a local one is used."""
+    """The folder all executors share: spark.checkpoint.dir, or the one given to SparkContext.setCheckpointDir.
+
+    Without either, one process (master local or local[n], as in tests) gets a temporary folder; a cluster raises RuntimeError,
+    for tables in machine-local folders would be incomplete.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        named = spark.sparkContext.getCheckpointDir()
+    if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="tallyframe-"))
         named = _own[0]
@@ -42,12 +53,39 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back, which cuts its lineage.
 
-    A lost executor costs nothing behind this point, and later branches do not compute df again.
+    A lost executor costs nothing behind this point, and later branches do not compute df again. An application's tables
+    are in one folder, which goes when its driver ends; `release` deletes one earlier.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tallyframe/{uuid.uuid4().hex}"
+    home = f"{shared_dir(spark)}/tallyframe/{spark.sparkContext.applicationId}"
+    path = f"{home}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    where, files = _files(spark, home)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing reads any more; other frames are left alone."""
+    for df in tables:
+        if path := _paths.pop(df, None):
+            where, files = _files(df.sparkSession, path)
+            files.delete(where, True)
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or with underscores behind it, that no column of df has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -73,12 +111,13 @@ def with_results(df: DataFrame, text: str, results: str, compute: Callable[[list
     added = T.StructType.fromDDL(results)
     names = {f.name.lower() for f in added}
     kept = [f for f in df.schema if f.name.lower() not in names and (keep is None or f.name in keep)]
-    source = df.select(F.col(f"`{text}`").alias("__text"), *[F.col(f"`{f.name}`") for f in kept])
+    body = free_name(df, "__text")
+    source = df.select(F.col(f"`{text}`").alias(body), *[F.col(f"`{f.name}`") for f in kept])
     fields = [f.name for f in kept] + [f.name for f in added]
     types = to_arrow_schema(added).types
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, "__text"):
+        for batch, texts in slices(batches, body):
             new = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(compute(texts), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], fields)
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import settle, table
+from .shared import free_name, settle, table
 
 TOKEN = re.compile("[a-z0-9]+")
 
@@ -119,12 +119,14 @@ def judge_urls(df: DataFrame, rules: tuple[Rule, ...], url: str = "url", *, keep
     URL is judged in its own row, so hot hosts need no shuffle. More rules than `block` go in blocks, one pass of each
     over the settled rows, so a task never holds a larger index. Counts of tokens are over all URLs.
     """
-    results = T.StructType.fromDDL("host string, path string, rule string, verdict string, n_regex int, __rank int")
+    results = T.StructType.fromDDL("host string, path string, rule string, verdict string, n_regex int")
+    address, place = free_name(df, "__url"), free_name(df, "__rank")
+    results.add(place, T.IntegerType())
     names = {f.name.lower() for f in results}
     kept = [f.name for f in df.schema if f.name.lower() not in names and (keep is None or f.name in keep)]
     counts = token_counts(df, url, {t for r in rules for t in r.tokens})
     order = {r: i for i, r in enumerate(sorted(rules, key=lambda r: r.rank))}
-    state = df.select(F.col(f"`{url}`").alias("__url"), *[F.col(f"`{c}`") for c in kept], F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"), F.lit(0).alias("n_regex"), F.lit(-1).alias("__rank"))
+    state = df.select(F.col(f"`{url}`").alias(address), *[F.col(f"`{c}`") for c in kept], F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"), F.lit(0).alias("n_regex"), F.lit(-1).alias(place))
     for lo in range(0, max(1, len(rules)), block):
         part = rules[lo : lo + block]
 
@@ -132,7 +134,7 @@ def judge_urls(df: DataFrame, rules: tuple[Rule, ...], url: str = "url", *, keep
             index = RuleIndex(part, counts)
             for b in batches:
                 at = b.schema.get_field_index
-                old = [b.column(at(c)).to_pylist() for c in ("rule", "verdict", "n_regex", "__rank")]
+                old = [b.column(at(c)).to_pylist() for c in ("rule", "verdict", "n_regex", place)]
                 new: list[list] = [[] for _ in results]
                 for u, rule, verdict, n, rank in zip(b.column(0).to_pylist(), *old, strict=True):
                     host, path = split_url(u)
@@ -142,13 +144,13 @@ def judge_urls(df: DataFrame, rules: tuple[Rule, ...], url: str = "url", *, keep
                     for c, x in zip(new, (host, path, rule, verdict, n + ran, rank), strict=True):
                         c.append(x)
                 types = [pa.string()] * 4 + [pa.int32()] * 2
-                yield pa.RecordBatch.from_arrays([b.column(0), *[b.column(at(c)) for c in kept], *map(pa.array, new, types)], ["__url", *kept, *results.names])
+                yield pa.RecordBatch.from_arrays([b.column(0), *[b.column(at(c)) for c in kept], *map(pa.array, new, types)], [address, *kept, *results.names])
 
         if lo:
             state = settle(state)
-        fields = [T.StructField("__url", T.StringType()), *[df.schema[c] for c in kept], *results]
+        fields = [T.StructField(address, T.StringType()), *[df.schema[c] for c in kept], *results]
         state = state.mapInArrow(run, T.StructType(fields))
-    return state.drop("__url", "__rank")
+    return state.drop(address, place)
 
 
 def query_rules() -> tuple[Rule, ...]:
