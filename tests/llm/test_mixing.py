@@ -70,3 +70,33 @@ def test_query_follows_the_queue(spark):
     for s in total:
         assert abs(taken[s] - target[s]) <= 2 * largest[s] + 1
     assert sorted(map(tuple, op4_fair_mix(spark, SF).collect())) == sorted((r.doc_id, r.size, r.source_size, r.target, r.taken) for r in full)
+
+
+def replayed(rows, targets, total, most=2):
+    """taken of each (id, source, size, upto) by serving packets one by one in the order of their finish times."""
+    budget = int(1.5 * sum(total.values()))
+    names = sorted(total, key=lambda s: (s is None, s or ""))
+    packets = sorted(((upto + c * total[s]) / targets[s], names.index(s), c, upto, i, n) for i, s, n, upto in rows for c in range(most) if n and targets[s] > 0)
+    taken = Counter()
+    for *_, i, n in packets:
+        taken[i] += min(n, budget)
+        budget -= min(n, budget)
+    return taken
+
+
+@pytest.mark.parametrize("lot", [50_000, 3])
+def test_taken_equals_a_replayed_queue(spark, lot):
+    from .conftest import SF
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = fair_mix(docs, lot=lot, keep=["size", "text", "n_chars", "lang"]).collect()
+    total, target = brute_targets([(r.source, r.text) for r in docs.collect()])
+    rows = [(r.doc_id, r.source, r.size, round(r.finish * r.target) if r.finish is not None else 0) for r in got]
+    run = Counter()
+    for r, (_, s, n, upto) in sorted(zip(got, rows, strict=True), key=lambda x: (x[1][1] or "", x[1][3])):
+        if n:
+            run[s] += n
+            assert upto == run[s]  # the shuffled order's running totals
+    want = replayed(rows, target, total)
+    assert {r.doc_id: r.taken for r in got} == {r.doc_id: want[r.doc_id] for r in got}
+    assert got[0].lang and fair_mix(docs, keep=["size"]).columns == ["doc_id", "source", "size", "source_size", "target", "taken", "finish"]
