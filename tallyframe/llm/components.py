@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import release, settle
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -22,13 +22,16 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while not edges.isEmpty():
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")).withColumnRenamed("a", "from")
         least = settle(least)
+        old = nodes
         if nodes is None:
-            nodes = least.select(F.col("from").alias("node"), F.col("to").alias("root"))
+            nodes = settle(least.select(F.col("from").alias("node"), F.col("to").alias("root")))
         else:
             nodes = settle(nodes.join(least, nodes["root"] == least["from"], "left").select("node", F.coalesce("to", "root").alias("root")))
+            release(old)
         ends = edges.join(least.select(F.col("from").alias("a"), F.col("to").alias("a2")), "a").select("a2", "b")
         ends = ends.join(least.select(F.col("from").alias("b"), F.col("to").alias("b2")), "b").select(F.col("a2").alias("a"), F.col("b2").alias("b"))
-        edges = settle(ends.filter("a != b").distinct())
+        before, edges = edges, settle(ends.filter("a != b").distinct())
+        release(before, least)
         both = edges.union(edges.select("b", "a"))
     if nodes is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

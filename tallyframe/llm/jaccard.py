@@ -1,17 +1,20 @@
 """N-gram Jaccard join by vertical partitioning.
 
 The n-grams (64-bit hashes) are put in one global order and cut into fragments. A
-fragment sees every document's part of its range, so it alone decides which n-grams
-are shared by different sets and how often. Partial counts are summed for each
-document: a set of which under 80 % is shared can have no partner. What remains is
-indexed by its rarest n-grams, and documents that may meet are compared in blocks,
-where partial overlaps are counted by slices of the order and summed for each pair.
+fragment sees every set's part of its range, so it alone decides which n-grams are
+shared by different sets and how often; a set of which under 80 % is shared can have
+no partner. For the others the order is cut again, into more fragments than a linked
+pair can have differences: so such a pair has equal parts in some of them, and the
+rarest parts of a set fetch its candidates. A candidate pair's overlaps are counted in
+each fragment by itself and summed for the pair. Sets already in one component are not
+compared any more, so large groups of near copies cost a tree of pairs, not all.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import documents_of, mix, settle, slices, table, with_results, word_hashes
+from .shared import documents_of, mix, release, settle, slices, table, with_results, word_hashes
 
 _HOT = (1 << 31) - 1  # stands for the frequency of an n-gram that one task has met many times
 _PART, _PASSED, _SIZE, _MARK = range(4)  # kinds of rows that go to a fragment
@@ -91,16 +94,14 @@ def _fragment_rows(df: DataFrame, text: str, bits: int, width: int, hot: int, mo
             for f in np.unique(to).tolist():
                 rows.append((f, _MARK, b"", b"", many[to == f].tobytes()))
             h, doc = h[~is_hot], doc[~is_hot]
-        frag = (h >> np.uint64(64 - bits)).astype(np.uint16)
+        frag = (h >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64)  # two bytes sort by radix
         order = np.argsort(frag, kind="stable")
-        h, doc = h[order], doc[order]
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(frag, minlength=1 << bits))])
-        for f in range(1 << bits):
-            i, j = int(cuts[f]), int(cuts[f + 1])
-            if i < j:
-                d = doc[i:j]
-                at = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-                rows.append((f, _PART, key[d[at]].tobytes(), np.diff(np.append(at, j - i)).astype(np.int32).tobytes(), h[i:j].tobytes()))
+        h, doc, frag = h[order], doc[order], frag[order]
+        cuts = np.flatnonzero(np.concatenate([[True], frag[1:] != frag[:-1]])) if len(h) else np.zeros(0, np.int64)
+        for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(h)], strict=True):
+            d = doc[i:j]
+            at = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+            rows.append((int(frag[i]), _PART, key[d[at]].tobytes(), np.diff(np.append(at, j - i)).astype(np.int32).tobytes(), h[i:j].tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,28 +176,88 @@ def _share_in_fragment(group: pa.Table) -> pa.Table:
     )
 
 
-def _rarest(percent: int):
-    """Per document: the shared hashes, sorted, and those of the prefix: the rarest of which a partner must have one."""
+_PLAIN = 16  # sets of at most so many n-grams take each n-gram for a part
+_LEVEL, _EMPTY = 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7
+
+
+def parts_index(hashes: np.ndarray, often: np.ndarray, size: int, percent: int) -> np.ndarray:
+    """The parts of a set by which its candidates are found, as hashes. Sets that link share at least one.
+
+    hashes: the n-grams that other sets have too, sorted, and in how many sets each is (`often`); size: of the whole set.
+    Linked sets of sizes s and t differ in at most (s + t) * (100 - percent) / (100 + percent) n-grams, so of the fragments of
+    the order, which are more, most have equal parts in both. Of all parts, empty ones included, both sets take the first few
+    in one global order (many and rare n-grams first, empty parts last): one more than the fragments that may differ, so they
+    meet. The number of fragments is that of a level of sizes (powers of two); a set whose partners may be of the next level
+    is in both.
+    """
+    unshared = size - len(hashes)
+    weight = np.round((np.log(often) - np.log(_HOT)) * 1024).astype(np.int64)  # whole numbers: equal parts, equal sums
+    out = []
+    level = max(_PLAIN, 1 << (size - 1).bit_length())
+    while True:
+        reach = (size + min(level, size * 100 // percent)) * (100 - percent) // (100 + percent) - unshared
+        salt = mix(np.array([level * _LEVEL % (1 << 64)], np.uint64))[0]
+        if reach >= 0:
+            if level == _PLAIN:
+                out.append(mix(hashes ^ salt)[np.lexsort((hashes, weight))[: reach + 1]])
+            else:
+                n = 2 * level * (100 - percent) // (100 + percent) * 5 // 4 + 2
+                frag = (hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+                at = np.flatnonzero(np.concatenate([[True], frag[1:] != frag[:-1]])) if len(frag) else np.zeros(0, np.int64)
+                part = mix((np.add.reduceat(mix(hashes), at) if len(at) else hashes) ^ mix(frag[at] + salt))
+                score = np.add.reduceat(weight, at) if len(at) else weight
+                out.append(part[np.lexsort((part, score))[: reach + 1]])
+                if len(at) <= reach:
+                    empty = np.setdiff1d(np.arange(n), frag[at])[: reach + 1 - len(at)]
+                    out.append(mix(empty.astype(np.uint64) * np.uint64(_EMPTY) + salt))
+        if size * 100 // percent <= level:
+            return np.concatenate(out) if out else hashes[:0]
+        level *= 2
+
+
+def _indexed(percent: int, fragments: int):
+    """Per set: its parts for the index, and its shared n-grams by fragment of the order; none for sets without candidates."""
     dtype = np.dtype([("h", np.uint64), ("n", np.int32)])
+    borders = (np.arange(1, fragments) * ((1 << 64) // fragments)).astype(np.uint64) if fragments > 1 else np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], []]
+            keys, sizes, index, grams, g_ends, ends = [], [], [], [], [], []
             for key, n, parts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 e = np.frombuffer(b"".join(parts), dtype)
                 _, at = np.unique(e["h"], return_index=True)  # copies in two tasks may have passed the same n-gram on
                 e = e[at]
-                least = -(-percent * n // 100)
-                most = len(e) - least + 1
-                if most > 0:
-                    prefix = e["h"][np.lexsort((e["h"], e["n"]))[:most]]
-                    for c, x in zip(out, (key, n, e["h"].tobytes(), prefix.view(np.int64).tolist()), strict=True):
-                        c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["key", "n", "hashes", "prefix"])
+                found = parts_index(e["h"], e["n"], n, percent)
+                if len(found):
+                    keys.append(key)
+                    sizes.append(n)
+                    index.append(found.view(np.int64))
+                    ends.append(len(found))
+                    grams.append(e["h"].view(np.int64))
+                    g_ends.append(np.diff(np.concatenate([[0], np.searchsorted(e["h"], borders), [len(e)]])))
+            ends_of = lambda x: pa.array(np.concatenate([[0], np.cumsum(x)]).astype(np.int32))
+            flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
+            by_fragment = pa.ListArray.from_arrays(ends_of(np.concatenate(g_ends) if g_ends else []), flat(grams))
+            every = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * fragments)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends_of(ends), flat(index)), pa.ListArray.from_arrays(every, by_fragment)], ["key", "n", "index", "grams"])
 
     return run
 
 
+def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link. Each fragment counts a pair's overlap in its range; the counts are summed for the pair.
+
+    sets: (key, n, grams), grams an array for each fragment. A pair meets one fragment's part of both sets at a time, and a
+    set in many pairs is spread by fragment.
+    """
+    parts = sets.select("key", "n", F.posexplode("grams").alias("fragment", "grams")).filter(F.size("grams") > 0)
+    a = parts.select(F.col("key").alias("a"), F.col("n").alias("na"), "fragment", F.col("grams").alias("ga"))
+    b = parts.select(F.col("key").alias("b"), F.col("n").alias("nb"), "fragment", F.col("grams").alias("gb"))
+    partial = pairs.join(a, "a").join(b, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("overlap"))
+    summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("common"))
+    return summed.filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+
+
 def linked(sets: list[np.ndarray], sizes: np.ndarray, percent: int, split: int | None = None, slice_width: int = 2048) -> np.ndarray:
     """Which pairs of sets link. Overlaps are counted for one slice of the global order after another, and summed.
 
@@ -243,8 +304,10 @@ def _compare(percent: int):
         side = group.column("side").to_numpy()
         order = np.argsort(side, kind="stable")
         key, sizes = group.column("key").to_numpy()[order], group.column("n").to_numpy()[order]
-        raw = group.column("hashes").to_pylist()
-        sets = [np.frombuffer(raw[i], np.uint64) for i in order.tolist()]
+        grams = group.column("grams").combine_chunks()
+        grams = grams.chunk(0) if isinstance(grams, pa.ChunkedArray) else grams
+        ends, flat = grams.offsets.to_numpy(), grams.values.to_numpy().view(np.uint64)
+        sets = [flat[ends[i] : ends[i + 1]] for i in order.tolist()]
         split = int((side == 0).sum())
         root = spanning_roots(linked(sets, sizes, percent, split if split < len(sets) else None))
         away = root != np.arange(len(root))
@@ -253,46 +316,104 @@ def _compare(percent: int):
     return run
 
 
-def linked_sets(df: DataFrame, text: str, total: int, *, percent: int = 80, width: int = 5, fragment: int = 4_000_000, hot: int = 64, chunk: int = 128) -> DataFrame:
-    """(node, root) for each set that links with a different one; total: the number of shingles, for the number of fragments."""
-    bits = min(16, max(5, math.ceil(math.log2(max(1, total) / fragment))))
-    parts = _fragment_rows(df, text, bits, width, hot)
-    shared = parts.groupBy("frag").applyInArrow(_share_in_fragment, "key long, n long, shared long, entries binary")
-    counts = shared.groupBy("key").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), F.collect_list("entries").alias("entries"))
-    able = counts.filter(F.col("shared") * 100 >= F.col("n") * percent).select("key", "n", "entries")
-    able = settle(able.mapInArrow(_rarest(percent), "key long, n long, hashes binary, prefix array<long>"))
-
-    listed = able.select("key", F.explode("prefix").alias("h"))
-    least = listed.groupBy("h").agg(F.min("key").alias("least"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    may_meet = connected_components(listed.join(least, "h").select("key", "least"), "key", "least")
-
-    sizes = may_meet.groupBy("root").agg(F.count("*").alias("members"))
+def _blocks(groups: DataFrame, sets: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """Links (a, b) that join all linked sets of each group (node, root, members), by blocks of two chunks of it."""
     # Groups of up to `chunk` are one block; larger ones are cut into chunks, and every two chunks make a block.
     chunks = F.ceil(F.col("members") / F.greatest(F.lit(chunk), F.least(F.lit(16 * chunk), F.floor(F.col("members") / 32)))).cast("int")
-    rows = able.select("key", "n", "hashes").join(may_meet.withColumnRenamed("node", "key"), "key").join(sizes, "root").withColumn("chunks", chunks)
+    rows = sets.select("key", "n", F.flatten("grams").alias("grams")).join(groups.withColumnRenamed("node", "key"), "key").withColumn("chunks", chunks)
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "key", "n", "hashes")
-    edges = rows.groupBy("root", "i", "j").applyInArrow(_compare(percent), "a long, b long")
-    return connected_components(edges, "a", "b")
+    rows = rows.select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "key", "n", "grams")
+    return rows.groupBy("root", "i", "j").applyInArrow(_compare(percent), "a long, b long")
+
+
+def _marked(live: DataFrame, links: DataFrame | None) -> DataFrame:
+    """(key, part, comp) of the parts whose sets are in two components or more."""
+    if links is None:
+        marked = live.select("key", "part", F.col("key").alias("comp"))
+    else:
+        known = connected_components(links, "a", "b").withColumnRenamed("node", "key")
+        marked = settle(live.select("key", "part").join(known, "key", "left").select("key", "part", F.coalesce("root", "key").alias("comp")))
+    open_ = marked.groupBy("part").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("part")
+    return settle(marked.join(open_, "part"))
+
+
+def _closure(live: DataFrame) -> DataFrame:
+    """(node, root, members) of the groups of sets that share parts, directly or by others."""
+    least = live.groupBy("part").agg(F.min("key").alias("least"))
+    groups = connected_components(live.join(least, "part").select("key", "least"), "key", "least")
+    return groups.join(groups.groupBy("root").agg(F.count("*").alias("members")), "root")
+
+
+def linked_sets(df: DataFrame, text: str, total: int, *, percent: int = 80, width: int = 5, fragment: int = 4_000_000, hot: int = 64, chunk: int = 128, fragments: int = 8, rounds: int = 2, small: int = 32) -> DataFrame:
+    """(node, root) for each set that links with a different one; total: the number of shingles, for the number of fragments.
+
+    Sets that share an index part are candidates. In each round every set is paired with one candidate in another component,
+    the same hub for all sets of a part, and the pairs are counted by fragment. Parts whose sets are then all in one component
+    are done. What is left after `rounds` is compared whole: sets that share parts form groups, compared in blocks that emit a
+    tree of links; in groups of over 16 chunks only parts of more than `small` sets hold a group together, and the pairs of
+    smaller parts (at most `small` / 2 for each row of the index) are counted by fragment again.
+    """
+    bits = max(5, math.ceil(math.log2(max(1, total) / fragment)))
+    cut = _fragment_rows(df, text, bits, width, hot, min(8_000_000, max(1_000_000, 4 << bits)))
+    shared = cut.groupBy("frag").applyInArrow(_share_in_fragment, "key long, n long, shared long, entries binary")
+    counts = shared.groupBy("key").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), F.collect_list("entries").alias("entries"))
+    able = counts.filter(F.col("shared") * 100 >= F.col("n") * percent).select("key", "n", "entries")
+    sets = settle(able.mapInArrow(_indexed(percent, fragments), "key long, n long, index array<long>, grams array<array<long>>"))
+
+    live = _marked(sets.select("key", F.explode("index").alias("part")), None)
+    found: list[DataFrame] = []
+    links: DataFrame | None = None
+    for turn in range(rounds):
+        order = F.xxhash64("key", F.lit(turn))
+        hubs = live.groupBy("part").agg(F.min(F.struct(order.alias("at"), "key", "comp")).alias("hub"))
+        choice = live.join(hubs, "part").filter("comp != hub.comp").groupBy("key").agg(F.min("hub").alias("hub"))
+        pairs = choice.select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
+        found.append(settle(linked_pairs(pairs, sets, percent)))
+        links = reduce(DataFrame.union, found)
+        before, live = live, _marked(live, links)
+        release(before)
+        if live.isEmpty():
+            break
+    else:
+        groups = settle(_closure(live))
+        large = 16 * chunk
+        found.append(settle(_blocks(groups.filter(F.col("members") <= large), sets, percent, chunk)))
+        rest = live.join(groups.filter(F.col("members") > large).select(F.col("node").alias("key")), "key", "left_semi")
+        if not groups.filter(F.col("members") > large).isEmpty():
+            sizes = rest.groupBy("part").agg(F.count("*").alias("c"))
+            rest = settle(rest.join(sizes, "part"))
+            few = rest.filter(F.col("c") <= small)
+            x, y = (few.select("part", F.col("key").alias(k), F.col("comp").alias(f"{k}_comp")) for k in "ab")
+            pairs = x.join(y, "part").filter("a < b and a_comp != b_comp").select("a", "b").distinct()
+            found.append(settle(linked_pairs(pairs, sets, percent)))
+            found.append(settle(_blocks(_closure(rest.filter(F.col("c") > small)), sets, percent, chunk)))
+    out = connected_components(reduce(DataFrame.union, found), "a", "b") if found else connected_components(live.select(F.col("key").alias("a"), F.col("comp").alias("b")).limit(0), "a", "b")
+    release(live, sets, *found)
+    return out
 
 
-def jaccard_components(df: DataFrame, id_column: str = "doc_id", text: str = "text", *, percent: int = 80, width: int = 5) -> DataFrame:
+def jaccard_components(df: DataFrame, id_column: str = "doc_id", text: str = "text", *, percent: int = 80, width: int = 5, salts: int = 16) -> DataFrame:
     """(id, n_shingles, component_id) for each row: component_id is the least id reachable by links.
 
     Two texts link when 100 * intersection >= percent * union of their sets of distinct `width`-word shingles (A-Z
     lower-cased, split at ASCII space; fewer words: the whole sequence). Null or wordless texts: 0 shingles, linked with
     nothing. Repeated rows and ties share their component; a null id stays null, and counts for no minimum. Other columns
-    are not returned. Shingles and sets are compared by 64-bit hashes. All pairs are decided, none is capped: copies are
-    one set, and groups that may link are compared in blocks that emit no pairs, only trees of links.
+    are not returned. Shingles and sets are compared by 64-bit hashes. All candidates are decided, none is capped: copies
+    are one set, and sets already joined are not compared again. Ids are gathered per set before anything is joined, and
+    rows find their set's component by set and one of `salts` numbers, so copies of one text go to many tasks.
     """
     keyed = settle(set_keys(df.select(F.col(f"`{id_column}`").alias("__id"), F.col(f"`{text}`").alias("text")), "text", ["__id"], width))
     total = keyed.agg(F.sum("n_shingles")).first()[0] or 0
-    roots = linked_sets(df, text, total, percent=percent, width=width)
-    labelled = keyed.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("root", "set_key"))
-    labelled = settle(labelled.select("__id", "n_shingles", "label"))
-    least = labelled.filter("label is not null").groupBy("label").agg(F.min("__id").alias("least"))
-    return labelled.join(least, "label", "left").select(F.col("__id").alias(id_column), "n_shingles", F.when(F.col("label").isNull(), F.col("__id")).otherwise(F.col("least")).alias("component_id"))
+    roots = linked_sets(df, text, total, percent=percent, width=width).withColumnRenamed("node", "set_key")
+    sets = keyed.filter("set_key is not null").groupBy("set_key").agg(F.min("__id").alias("least"), F.count("*").alias("copies"))
+    sets = sets.join(roots, "set_key", "left").filter("copies > 1 or root is not null").select("set_key", "least", F.coalesce("root", "set_key").alias("root"))
+    sets = settle(sets)
+    least = settle(sets.groupBy("root").agg(F.min("least").alias("component")))
+    named = settle(sets.join(least, "root").select("set_key", "component", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")))
+    rows = keyed.withColumn("salt", F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(salts)).cast("int"))
+    joined = rows.join(named.withColumn("met", F.lit(True)), ["set_key", "salt"], "left")
+    return joined.select(F.col("__id").alias(id_column), "n_shingles", F.when(F.col("met"), F.col("component")).otherwise(F.col("__id")).alias("component_id"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

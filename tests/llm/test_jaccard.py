@@ -59,15 +59,15 @@ def copies():
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("chunk,fragment,hot", [(128, 4_000_000, 64), (8, 500, 4)])
-def test_components_equal_brute_force(spark, copies, chunk, fragment, hot):
+@pytest.mark.parametrize("chunk,fragment,hot,rounds", [(128, 4_000_000, 64, 2), (8, 500, 4, 1), (1, 500, 4, 0)])
+def test_components_equal_brute_force(spark, copies, chunk, fragment, hot, rounds):
     df = spark.createDataFrame(copies, "doc_id long, text string").repartition(5)
     if chunk == 128:
         got = J.jaccard_components(df)
         assert sorted(map(tuple, got.collect())) == sorted(brute(copies))
         return
     keys = {r.doc_id: r.set_key for r in J.set_keys(df, "text", ["doc_id"]).collect()}
-    roots = {r.node: r.root for r in J.linked_sets(df, "text", 20_000, chunk=chunk, fragment=fragment, hot=hot).collect()}
+    roots = {r.node: r.root for r in J.linked_sets(df, "text", 20_000, chunk=chunk, fragment=fragment, hot=hot, rounds=rounds, small=4).collect()}
     groups = defaultdict(set)
     for i, n, _ in brute(copies):
         if n:
@@ -93,6 +93,72 @@ def test_query(spark):
     assert sorted(map(tuple, J.op10_jaccard_join(spark, SF).collect())) == sorted(brute(rows))
 
 
+def test_linked_sets_share_a_part():
+    """Random pairs at and above the limit always meet in the index; unlike sets hardly ever do."""
+    rng = np.random.default_rng(6)
+    met = unlike = 0
+    for trial in range(600):
+        n = int(rng.choice([1, 4, 5, 9, 14, 16, 17, 30, 33, 64, 65, 150, 400, 1100]))
+        base = rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+        most = 2 * n * 20 // 180
+        out = int(rng.integers(0, most // 2 + 1)) if trial % 2 else most // 2
+        more = rng.integers(0, 1 << 63, max(0, most - 2 * out) if trial % 3 else out).astype(np.uint64)
+        x, y = np.unique(base), np.unique(np.concatenate([base[out:], more]))
+        common = len(np.intersect1d(x, y))
+        if not common or 100 * common < 80 * (len(x) + len(y) - common):
+            continue
+        often = {int(h): int(f) for h, f in zip(np.union1d(x, y), rng.choice([1, 2, 3, 50, J._HOT], len(np.union1d(x, y))), strict=True)}
+        often.update({int(h): max(2, often[int(h)]) for h in np.intersect1d(x, y)})
+        index = []
+        for z in (x, y):
+            kept = np.array([h for h in z if often[int(h)] > 1], np.uint64)  # what no other set has is left out
+            index.append(set(J.parts_index(kept, np.array([often[int(h)] for h in kept], np.int32), len(z), 80).tolist()))
+        assert index[0] & index[1] or len(x) == len(y) == common
+        met += 1
+        if n > 16:
+            other = np.sort(np.concatenate([base[: n // 10], rng.integers(0, 1 << 63, n - n // 10).astype(np.uint64)]))
+            unlike += bool(index[0] & set(J.parts_index(other, np.full(len(other), 50, np.int32), n, 80).tolist()))
+    assert met > 300 and unlike < 0.1 * met
+
+
+def test_texts_of_shared_passages_stay_apart(spark):
+    """Texts put together from a pool of passages link with nothing: rows compared stay in proportion to the texts."""
+    rng = random.Random(8)
+    pool = [" ".join(rng.choices([f"v{i}" for i in range(2000)], k=40)) for _ in range(60)]
+    rows = [(i, " ".join(rng.sample(pool, 10))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    seen = []
+    real = J.linked_pairs
+    blocks = J._blocks
+
+    def counted(pairs, sets, percent):
+        seen.append(pairs.count())
+        return real(pairs, sets, percent)
+
+    def counted_blocks(groups, sets, percent, chunk):
+        seen.append(groups.count())
+        return blocks(groups, sets, percent, chunk)
+
+    J.linked_pairs, J._blocks = counted, counted_blocks
+    try:
+        got = J.jaccard_components(df).collect()
+    finally:
+        J.linked_pairs, J._blocks = real, blocks
+    assert all(r.component_id == r.doc_id for r in got) and sum(seen) < 4 * len(rows)
+
+
+def test_near_copies_cost_a_tree(spark):
+    rng = random.Random(9)
+    base = rng.choices([f"v{i}" for i in range(2000)], k=300)
+    rows = []
+    for i in range(1200):
+        w = list(base)
+        w[rng.randrange(300)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert len(got) == 1200 and {r.component_id for r in got} == {0}
+
+
 def test_slices_and_roots():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(20)]
