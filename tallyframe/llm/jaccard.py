@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -180,66 +181,67 @@ _PLAIN = 16  # sets of at most so many n-grams take each n-gram for a part
 _LEVEL, _EMPTY = 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7
 
 
-def parts_index(hashes: np.ndarray, often: np.ndarray, size: int, percent: int) -> np.ndarray:
-    """The parts of a set by which its candidates are found, as hashes. Sets that link share at least one.
+def parts_index(hashes: np.ndarray, size: int, percent: int) -> list[tuple[np.ndarray, int]]:
+    """For each level of sizes: the parts of a set by which its candidates may be found, as hashes, and how many of the
+    commonest ones it can do without. Sets that link share one of the others.
 
-    hashes: the n-grams that other sets have too, sorted, and in how many sets each is (`often`); size: of the whole set.
-    Linked sets of sizes s and t differ in at most (s + t) * (100 - percent) / (100 + percent) n-grams, so of the fragments of
-    the order, which are more, most have equal parts in both. Of all parts, empty ones included, both sets take the first few
-    in one global order (many and rare n-grams first, empty parts last): one more than the fragments that may differ, so they
-    meet. The number of fragments is that of a level of sizes (powers of two); a set whose partners may be of the next level
-    is in both.
+    hashes: the n-grams that other sets have too, sorted; size: of the whole set. Linked sets of sizes s and t differ in at
+    most (s + t) * (100 - percent) / (100 + percent) n-grams, so of the fragments of the order, which are more, most have
+    equal parts in both. If both sets take the first few of their parts in one global order (rare ones first, empty ones
+    last), one more than the fragments that may differ, they meet. The number of fragments is that of a level (a power of
+    two); a set whose partners may be of the next level is in both.
     """
     unshared = size - len(hashes)
-    weight = np.round((np.log(often) - np.log(_HOT)) * 1024).astype(np.int64)  # whole numbers: equal parts, equal sums
     out = []
     level = max(_PLAIN, 1 << (size - 1).bit_length())
     while True:
         reach = (size + min(level, size * 100 // percent)) * (100 - percent) // (100 + percent) - unshared
         salt = mix(np.array([level * _LEVEL % (1 << 64)], np.uint64))[0]
-        if reach >= 0:
+        if reach >= 0 and len(hashes):
             if level == _PLAIN:
-                out.append(mix(hashes ^ salt)[np.lexsort((hashes, weight))[: reach + 1]])
+                part = mix(hashes ^ salt)
             else:
                 n = 2 * level * (100 - percent) // (100 + percent) * 5 // 4 + 2
                 frag = (hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
-                at = np.flatnonzero(np.concatenate([[True], frag[1:] != frag[:-1]])) if len(frag) else np.zeros(0, np.int64)
-                part = mix((np.add.reduceat(mix(hashes), at) if len(at) else hashes) ^ mix(frag[at] + salt))
-                score = np.add.reduceat(weight, at) if len(at) else weight
-                out.append(part[np.lexsort((part, score))[: reach + 1]])
+                at = np.flatnonzero(np.concatenate([[True], frag[1:] != frag[:-1]]))
+                part = mix(np.add.reduceat(mix(hashes), at) ^ mix(frag[at] + salt))
                 if len(at) <= reach:
                     empty = np.setdiff1d(np.arange(n), frag[at])[: reach + 1 - len(at)]
-                    out.append(mix(empty.astype(np.uint64) * np.uint64(_EMPTY) + salt))
+                    part = np.concatenate([part, mix(empty.astype(np.uint64) * np.uint64(_EMPTY) + salt)])
+            out.append((part, max(0, len(part) - reach - 1)))
         if size * 100 // percent <= level:
-            return np.concatenate(out) if out else hashes[:0]
+            return out
         level *= 2
 
 
 def _indexed(percent: int, fragments: int):
-    """Per set: its parts for the index, and its shared n-grams by fragment of the order; none for sets without candidates."""
+    """Per set: its parts for the index, each with twice the number of parts of its level that may go, plus one for every second
+    level; and its shared n-grams by fragment of the order. No row for sets that can have no partner."""
     dtype = np.dtype([("h", np.uint64), ("n", np.int32)])
     borders = (np.arange(1, fragments) * ((1 << 64) // fragments)).astype(np.uint64) if fragments > 1 else np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sizes, index, grams, g_ends, ends = [], [], [], [], [], []
+            keys, sizes, index, spare, grams, g_ends, ends = [], [], [], [], [], [], []
             for key, n, parts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 e = np.frombuffer(b"".join(parts), dtype)
                 _, at = np.unique(e["h"], return_index=True)  # copies in two tasks may have passed the same n-gram on
                 e = e[at]
-                found = parts_index(e["h"], e["n"], n, percent)
-                if len(found):
+                found = parts_index(e["h"], n, percent)
+                if found:
                     keys.append(key)
                     sizes.append(n)
-                    index.append(found.view(np.int64))
-                    ends.append(len(found))
+                    index += [part.view(np.int64) for part, _ in found]
+                    spare += [np.full(len(part), 2 * more + i % 2, np.int32) for i, (part, more) in enumerate(found)]
+                    ends.append(sum(len(part) for part, _ in found))
                     grams.append(e["h"].view(np.int64))
                     g_ends.append(np.diff(np.concatenate([[0], np.searchsorted(e["h"], borders), [len(e)]])))
             ends_of = lambda x: pa.array(np.concatenate([[0], np.cumsum(x)]).astype(np.int32))
-            flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
+            flat = lambda x, t=np.int64: pa.array(np.concatenate(x) if x else np.zeros(0, t))
+            parts_of = pa.StructArray.from_arrays([flat(index), flat(spare, np.int32)], ["part", "spare"])
             by_fragment = pa.ListArray.from_arrays(ends_of(np.concatenate(g_ends) if g_ends else []), flat(grams))
             every = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * fragments)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends_of(ends), flat(index)), pa.ListArray.from_arrays(every, by_fragment)], ["key", "n", "index", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends_of(ends), parts_of), pa.ListArray.from_arrays(every, by_fragment)], ["key", "n", "index", "grams"])
 
     return run
 
@@ -327,6 +329,15 @@ def _blocks(groups: DataFrame, sets: DataFrame, percent: int, chunk: int) -> Dat
     return rows.groupBy("root", "i", "j").applyInArrow(_compare(percent), "a long, b long")
 
 
+def _rare_parts(sets: DataFrame) -> DataFrame:
+    """(key, part) of the index: of each set and level the parts that other sets have too, without the commonest that may go."""
+    rows = sets.select("key", F.inline("index"))
+    often = rows.groupBy("part").agg(F.count("*").alias("c")).filter("c > 1")
+    rows = rows.join(often, "part")
+    common = F.row_number().over(W.partitionBy("key", "spare").orderBy(F.desc("c"), F.desc("part")))
+    return rows.withColumn("place", common).filter(F.col("place") > F.floor(F.col("spare") / 2)).select("key", "part")
+
+
 def _marked(live: DataFrame, links: DataFrame | None) -> DataFrame:
     """(key, part, comp) of the parts whose sets are in two components or more."""
     if links is None:
@@ -359,9 +370,9 @@ def linked_sets(df: DataFrame, text: str, total: int, *, percent: int = 80, widt
     shared = cut.groupBy("frag").applyInArrow(_share_in_fragment, "key long, n long, shared long, entries binary")
     counts = shared.groupBy("key").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), F.collect_list("entries").alias("entries"))
     able = counts.filter(F.col("shared") * 100 >= F.col("n") * percent).select("key", "n", "entries")
-    sets = settle(able.mapInArrow(_indexed(percent, fragments), "key long, n long, index array<long>, grams array<array<long>>"))
+    sets = settle(able.mapInArrow(_indexed(percent, fragments), "key long, n long, index array<struct<part: long, spare: int>>, grams array<array<long>>"))
 
-    live = _marked(sets.select("key", F.explode("index").alias("part")), None)
+    live = _marked(_rare_parts(sets), None)
     found: list[DataFrame] = []
     links: DataFrame | None = None
     for turn in range(rounds):
