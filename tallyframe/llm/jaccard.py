@@ -73,7 +73,11 @@ def _key(s: np.ndarray) -> int:
 
 
 def _fragment_rows(df: DataFrame, text: str, bits: int, width: int, hot: int, most: int = 1_000_000) -> DataFrame:
-    """Each task's distinct sets, cut into fragments: rows (frag, kind, keys, counts, hashes)."""
+    """Each task's distinct sets, cut into fragments: rows (frag, kind, keys, counts, hashes).
+
+    Parts have six bytes for each n-gram, the 48 bits behind those that name its fragment: 53 bits of the hash or more.
+    """
+    drop = np.uint64(max(0, 16 - bits))
     schema = "frag int, kind int, keys binary, counts binary, hashes binary"
     names = ["frag", "kind", "keys", "counts", "hashes"]
     types = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -82,7 +86,7 @@ def _fragment_rows(df: DataFrame, text: str, bits: int, width: int, hot: int, mo
         rows: list[tuple] = []
         key, sizes = np.array(keys, np.int64), np.array([len(s) for s in sets], np.int32)
         rows.append((turn % (1 << bits), _SIZE, key.tobytes(), sizes.tobytes(), b""))
-        h, doc = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+        h, doc = np.concatenate(sets) >> drop << drop, np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
         ordered = np.sort(h)
         met = ordered[: max(0, len(ordered) - hot + 1)]
         many = np.unique(met[met == ordered[hot - 1 :]])  # met `hot` times or more
@@ -98,11 +102,12 @@ def _fragment_rows(df: DataFrame, text: str, bits: int, width: int, hot: int, mo
         frag = (h >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64)  # two bytes sort by radix
         order = np.argsort(frag, kind="stable")
         h, doc, frag = h[order], doc[order], frag[order]
+        six = (h >> drop).view(np.uint8).reshape(-1, 8)[:, :6]
         cuts = np.flatnonzero(np.concatenate([[True], frag[1:] != frag[:-1]])) if len(h) else np.zeros(0, np.int64)
         for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(h)], strict=True):
             d = doc[i:j]
             at = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-            rows.append((int(frag[i]), _PART, key[d[at]].tobytes(), np.diff(np.append(at, j - i)).astype(np.int32).tobytes(), h[i:j].tobytes()))
+            rows.append((int(frag[i]), _PART, key[d[at]].tobytes(), np.diff(np.append(at, j - i)).astype(np.int32).tobytes(), np.ascontiguousarray(six[i:j]).tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,15 +131,16 @@ def _fragment_rows(df: DataFrame, text: str, bits: int, width: int, hot: int, mo
     return df.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, schema)
 
 
-def _share_in_fragment(group: pa.Table) -> pa.Table:
+def _share_in_fragment(group: pa.Table, bits: int) -> pa.Table:
     """Rows (key, n, shared, entries) for the documents of one fragment: entries are hash and frequency of each shared n-gram."""
+    frag = group.column("frag")[0].as_py()
     kind = group.column("kind")
 
-    def of(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def of(k: int, item: type = np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The numbers in the rows of one kind, all rows of a column as one array, without another copy."""
         rows = group.filter(pc.equal(kind, k))
         out = []
-        for c, t in (("keys", np.int64), ("counts", np.int32), ("hashes", np.uint64)):
+        for c, t in (("keys", np.int64), ("counts", np.int32), ("hashes", item)):
             x = pa.concat_arrays(rows.column(c).chunks) if rows.num_rows else pa.array([], pa.binary())
             ends = np.frombuffer(x.buffers()[1], np.int32, len(x) + 1, 4 * x.offset) if len(x) else np.zeros(1, np.int32)
             out.append(np.frombuffer(x.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(t) if ends[-1] > ends[0] else np.zeros(0, t))
@@ -143,7 +149,11 @@ def _share_in_fragment(group: pa.Table) -> pa.Table:
     key, size, _ = of(_SIZE)
     passed_key, passed_count, passed = of(_PASSED)
     marked = np.unique(of(_MARK)[2])
-    keys, counts, h = of(_PART)
+    keys, counts, six = of(_PART, np.uint8)
+    h = np.zeros((len(six) // 6, 8), np.uint8)
+    h[:, :6] = six.reshape(-1, 6)
+    h = (h.view(np.uint64)[:, 0] << np.uint64(max(0, 16 - bits))) | np.uint64(frag << (64 - bits))
+    del six
     doc = np.repeat(keys, counts)
     order = np.lexsort((doc, h))
     h, doc = h[order], doc[order]
@@ -367,7 +377,7 @@ def linked_sets(df: DataFrame, text: str, total: int, *, percent: int = 80, widt
     """
     bits = max(5, math.ceil(math.log2(max(1, total) / fragment)))
     cut = _fragment_rows(df, text, bits, width, hot, min(8_000_000, max(1_000_000, 4 << bits)))
-    shared = cut.groupBy("frag").applyInArrow(_share_in_fragment, "key long, n long, shared long, entries binary")
+    shared = cut.groupBy("frag").applyInArrow(lambda group: _share_in_fragment(group, bits), "key long, n long, shared long, entries binary")
     counts = shared.groupBy("key").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), F.collect_list("entries").alias("entries"))
     able = counts.filter(F.col("shared") * 100 >= F.col("n") * percent).select("key", "n", "entries")
     sets = settle(able.mapInArrow(_indexed(percent, fragments), "key long, n long, index array<struct<part: long, spare: int>>, grams array<array<long>>"))
@@ -410,7 +420,7 @@ def jaccard_components(df: DataFrame, id_column: str = "doc_id", text: str = "te
     Two texts link when 100 * intersection >= percent * union of their sets of distinct `width`-word shingles (A-Z
     lower-cased, split at ASCII space; fewer words: the whole sequence). Null or wordless texts: 0 shingles, linked with
     nothing. Repeated rows and ties share their component; a null id stays null, and counts for no minimum. Other columns
-    are not returned. Shingles and sets are compared by 64-bit hashes. All candidates are decided, none is capped: copies
+    are not returned. Shingles are compared by 53 bits or more of their hashes, sets by 64. All candidates are decided, none is capped: copies
     are one set, and sets already joined are not compared again. Ids are gathered per set before anything is joined, and
     rows find their set's component by set and one of `salts` numbers, so copies of one text go to many tasks.
     """
