@@ -325,21 +325,29 @@ def decode_frames(frames: list[bytes]) -> list[list[np.ndarray]]:
     out: list = [None] * len(frames)
     groups: dict[bytes, list[int]] = {}
     for i, f in enumerate(frames):
-        at = f.find(b"\xff\xda")
-        head = f[: at + 2 + int.from_bytes(f[at + 2 : at + 4], "big")] if at >= 0 else f
-        groups.setdefault(head, []).append(i)
+        groups.setdefault(_head_of(f), []).append(i)
     for head, members in groups.items():
-        if head not in _headers:
-            if len(_headers) > 64:
-                _headers.clear()
-            _headers[head] = parse_header(head)
         for lo in range(0, len(members), 512):
             part = members[lo : lo + 512]
-            for i, blocks in zip(part, _decode(_headers[head], [frames[i] for i in part]), strict=True):
+            for i, blocks in zip(part, _decode(_header(head), [frames[i] for i in part]), strict=True):
                 out[i] = blocks
     return out
 
 
+def _head_of(frame: bytes) -> bytes:
+    at = frame.find(b"\xff\xda")
+    return frame[: at + 2 + int.from_bytes(frame[at + 2 : at + 4], "big")] if at >= 0 else frame
+
+
+def _header(head: bytes) -> _Header:
+    """The parsed header, of the last 64 different ones without parsing it again."""
+    if head not in _headers:
+        if len(_headers) > 64:
+            _headers.clear()
+        _headers[head] = parse_header(head)
+    return _headers[head]
+
+
 def _decode(h: _Header, frames: list[bytes]) -> list[list[np.ndarray]]:
     single = len(h.parts) == 1
     across, down = max(p[1] for p in h.parts), max(p[2] for p in h.parts)
@@ -474,6 +482,29 @@ def shots(hist: np.ndarray, reach: int = 8, factor: float = 2.0, least: float =
     return list(zip([0, *cuts], [*cuts, n], strict=True))
 
 
+def video_histograms(frames: list[bytes], blocks: int = 1 << 17) -> np.ndarray:
+    """Histograms of all frames, decoded in windows of about `blocks` 8 x 8 blocks (one frame at least), so memory does not
+    grow with the length of a video."""
+    out = []
+    lo = 0
+    while lo < len(frames):
+        h = _header(_head_of(frames[lo]))
+        each = max(1, (-(-h.width // 8) + 4) * (-(-h.height // 8) + 4) * len(h.parts))
+        hi = lo + max(1, blocks // each)
+        out.append(histograms([c[0] for c in decode_frames(frames[lo:hi])]))
+        lo = hi
+    return np.concatenate(out) if out else np.zeros((0, 16))
+
+
+def timed_clips(hist: np.ndarray, rate: float, reach: int = 8, factor: float = 2.0, least: float = 0.12) -> list[tuple]:
+    """(clip, first frame, end frame, start and end in seconds, mean brightness) of each shot."""
+    middle = (np.arange(hist.shape[1]) + 0.5) * 256 / hist.shape[1]
+    return [(k, a, z, a / rate, z / rate, float((hist[a:z] @ middle).mean())) for k, (a, z) in enumerate(shots(hist, reach, factor, least))]
+
+
+CLIP = "clip int, first_frame int, end_frame int, start_s double, end_s double, brightness double"
+
+
 def payload_of(text: bytes) -> bytes:
     """The text's bytes and blanks up to a positive multiple of FRAME."""
     return text.ljust(max(1, -(-len(text) // FRAME)) * FRAME, b" ")
@@ -488,10 +519,10 @@ def clips(df: DataFrame, media: str = "media", *, keep: list[str] | None = None,
     """One row for each shot of each AVI file in the binary column: clip, first_frame, end_frame, start_s, end_s, brightness.
 
     Files are read by their index, frames decoded, shots cut by adaptive histogram differences. A null, an empty video or
-    a file that is no motion JPEG AVI gives one row with null values and `error` (null for a null or an empty video).
-    Other columns are repeated for each clip, but for those named as results; repeated rows give repeated clips.
+    a file that is no motion JPEG AVI gives one row with null values and `error` (null for a null or an empty video). A
+    long video is decoded window by window; what is held of all its frames is one histogram each. Other columns are repeated for each clip, but for those named as results; repeated rows give repeated clips.
     """
-    results = T.StructType.fromDDL("clip int, first_frame int, end_frame int, start_s double, end_s double, brightness double, error string")
+    results = T.StructType.fromDDL(CLIP + ", error string")
     names = {f.name for f in results}
     kept = [f for f in df.schema if f.name.lower() not in names and f.name != media and (keep is None or f.name in keep)]
     body = free_name(df, "__media")
@@ -507,9 +538,7 @@ def clips(df: DataFrame, media: str = "media", *, keep: list[str] | None = None,
                 if data:
                     try:
                         video = read_avi(data)
-                        h = histograms([c[0] for c in decode_frames(video.frames)])
-                        middle = (np.arange(h.shape[1]) + 0.5) * 256 / h.shape[1]
-                        found = [(k, a, z, a / video.rate, z / video.rate, float((h[a:z] @ middle).mean()), None) for k, (a, z) in enumerate(shots(h, reach, factor, least))]
+                        found = [(*c, None) for c in timed_clips(video_histograms(video.frames), video.rate, reach, factor, least)]
                     except (ValueError, KeyError, IndexError, struct.error) as e:
                         error = str(e)
                 found = found or [(None,) * 6 + (error,)]
@@ -525,12 +554,15 @@ def store_texts(df: DataFrame, text: str = "text", *, media_column: str | None =
     """Store each text losslessly as an AVI file, read the stored bytes back and describe what they hold.
 
     Adds n_bytes, payload_bytes, payload_sha256, tail_crc32 (of the payload as read back; the last 16 bytes), media_bytes,
-    media_sha256, feature (`<frames>:<ends of the shots, comma-joined>`) and, in `media_column`, the file. A null text counts
-    as empty: one frame of blanks. Equal texts get equal values. Other columns are kept, equal names replaced.
+    media_sha256, feature (`<frames>:<ends of the shots, comma-joined>`), clips (an array of the timed clips) and, in
+    `media_column`, the file. A null text counts as empty: one frame of blanks. Equal texts get equal values. Other columns are kept, equal names replaced.
     """
     results = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    results += f", clips array<struct<{CLIP}>>"
     results += f", `{media_column}` binary" if media_column else ""
 
+    names = [x.split()[0] for x in CLIP.split(", ")]
+
     def compute(texts: list[bytes]) -> list[list]:
         rows = []
         files = [write_avi(payload_of(t)) for t in texts]
@@ -541,8 +573,9 @@ def store_texts(df: DataFrame, text: str = "text", *, media_column: str | None =
         for t, media, video in zip(texts, files, videos, strict=True):
             to = at + len(video.frames)
             back = read_back(blocks[at:to])
-            ends = ",".join(str(z) for _, z in shots(hist[at:to]))
-            row = [len(t), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{to - at}:{ends}"]
+            found = timed_clips(hist[at:to], video.rate)
+            ends = ",".join(str(c[2]) for c in found)
+            row = [len(t), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{to - at}:{ends}", [dict(zip(names, c, strict=True)) for c in found]]
             rows.append([*row, media] if media_column else row)
             at = to
         return [list(c) for c in zip(*rows, strict=True)]
@@ -550,5 +583,10 @@ def store_texts(df: DataFrame, text: str = "text", *, media_column: str | None =
     return with_results(df, text, results, compute, keep)
 
 
+def media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timed clip rows of the documents' media: each file is stored, then read by its index, decoded and cut."""
+    return clips(store_texts(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "media"))
+
+
 def op2_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_texts(table(spark, sf_dir, "documents"), media_column=None, keep=["doc_id"])

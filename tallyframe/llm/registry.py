@@ -11,6 +11,7 @@ from . import avi, bpe, jaccard, langid, lengths, licences, mixing, quality, sec
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_avi_media": avi.op2_avi_media,
+    "media_clips": avi.media_clips,
     "op3_licence_scan": licences.op3_licence_scan,
     "op4_fair_mix": mixing.op4_fair_mix,
     "op5_language_id": langid.op5_language_id,

@@ -184,3 +184,25 @@ def test_standard_tables():
     jpeg = b"\xff\xd8" + A._segment(0xDB, bytes([0]) + bytes([8] * 64)) + A._segment(0xC0, struct.pack(">BHHB", 8, 8, 8, 1) + bytes([1, 0x11, 0])) + A._segment(0xDA, bytes([1, 1, 0, 0, 63, 0]))
     bits = ("011" + "11" + "1010").ljust(16, "1")
     assert A.decode_frames([jpeg + int(bits, 2).to_bytes(2, "big") + b"\xff\xd9"])[0][0].tolist() == [[24]]
+
+
+def test_windows_do_not_matter():
+    rng = np.random.default_rng(2)
+    frames = A.read_avi(A.write_avi(rng.integers(0, 256, 192 * 37).astype(np.uint8).tobytes())).frames
+    whole = A.histograms([c[0] for c in A.decode_frames(frames)])
+    assert all((A.video_histograms(frames, blocks) == whole).all() for blocks in (1, 1500, 1 << 17))
+    assert A.video_histograms([]).shape == (0, 16)
+
+
+def test_timed_clips_of_the_documents(spark):
+    from .conftest import SF
+
+    rows = A.media_clips(spark, SF).collect()
+    nested = {r.doc_id: r.clips for r in A.op2_avi_media(spark, SF).collect()}
+    found = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.clip)):
+        assert r.error is None and r.start_s == r.first_frame / A.RATE and r.end_s == r.end_frame / A.RATE
+        found.setdefault(r.doc_id, []).append(tuple(r)[1:7])
+    assert found == {i: [tuple(c) for c in cs] for i, cs in nested.items()}
+    for cs in found.values():
+        assert [c[0] for c in cs] == list(range(len(cs))) and cs[0][1] == 0 and all(a[2] == b[1] for a, b in zip(cs, cs[1:], strict=False))
