@@ -41,20 +41,59 @@ def site_rule(verdict: str, host: str, path: str) -> Rule:
     return Rule(host + path, verdict, r"(?:[^/?#]*\.)?" + re.escape(host) + re.escape(path), tuple(tokens + TOKEN.findall(inner.lower())), (1, len(host) + len(path), host + path))
 
 
+_BORDER = r"(?:[^A-Za-z0-9.-]|\Z)"
+
+
 def pattern_rule(verdict: str, pattern: str) -> Rule:
     """`*` is any text, `^` one character that is no letter, digit, `-` or `.`, or the end; the pattern may fit anywhere.
 
     Literal tokens are the runs of letters and digits with a literal character at both sides, which no `*` or border can extend.
     """
-    body = "".join(".*" if c == "*" else "(?:[^A-Za-z0-9.-]|$)" if c == "^" else re.escape(c) for c in pattern)
+    body = "".join(".*" if c == "*" else _BORDER if c == "^" else re.escape(c) for c in pattern)
     tokens = [m[0] for m in TOKEN.finditer(pattern) if 0 < m.start() and m.end() < len(pattern) and pattern[m.start() - 1] != "*" and pattern[m.end()] != "*"]
     return Rule(pattern, verdict, ".*?" + body, tuple(tokens), (0, len(pattern), pattern))
 
 
 #: The rules of the query.
 SITE_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: The method's own rules, for URLs that no site rule fits.
-PATTERN_RULES = (".spam-farm.", ".cheap-pills.", ".casino-", "-casino.", ".free-download.", "/ads/", "/banner/", "/affiliate/", "/redirect/", ".adult-", ".torrent-", "/wp-login.", "/cgi-bin/", "/pills/", "/casino/", "/porn/")
+#: The method's own rules, for URLs that no site rule fits: (verdict, pattern).
+PATTERN_RULES = (
+    ("block", ".spam-farm."),
+    ("block", ".cheap-pills."),
+    ("block", ".casino-"),
+    ("block", "-casino."),
+    ("block", ".casino*.*^bonus^"),
+    ("block", ".free-download."),
+    ("block", ".adult-"),
+    ("block", ".torrent-"),
+    ("block", "^xxx^"),
+    ("block", "^porn^"),
+    ("block", "/casino/"),
+    ("block", "/pills/"),
+    ("block", "/ads/"),
+    ("block", "^ad*^banner*^"),
+    ("block", "/banner/"),
+    ("block", "/affiliate/"),
+    ("block", "^aff_id=*^"),
+    ("block", "/redirect/"),
+    ("block", "^redirect*http"),
+    ("block", "/wp-login."),
+    ("block", "/wp-content/*/cache/"),
+    ("block", "/wp-json^"),
+    ("block", "/cgi-bin/"),
+    ("block", "^phpmyadmin^"),
+    ("block", "^login^"),
+    ("block", "^signup^"),
+    ("block", "^logout^"),
+    ("block", "/cart^checkout^"),
+    ("block", "/tag/*/feed^"),
+    ("block", "/comment-page-*^"),
+    ("block", "/search*^sort^"),
+    ("block", "/calendar/*/print^"),
+    ("allow", "/docs/*^login^"),  # longer than the rule it is an exception to
+    ("allow", "/help/redirect/"),
+    ("allow", "/reference/*/ads/"),
+)
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -154,12 +193,12 @@ def judge_urls(df: DataFrame, rules: tuple[Rule, ...], url: str = "url", *, keep
 
 
 def query_rules() -> tuple[Rule, ...]:
-    return tuple(site_rule(*r) for r in SITE_RULES) + tuple(pattern_rule("block", p) for p in PATTERN_RULES)
+    return tuple(site_rule(*r) for r in SITE_RULES) + tuple(pattern_rule(*p) for p in PATTERN_RULES)
 
 
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge_urls(table(spark, sf_dir, "pages"), query_rules(), keep=["page_id"])
-    own = {p for p in PATTERN_RULES}
+    own = {p for _, p in PATTERN_RULES}
     return out.select("page_id", "host", "path", F.when(F.col("rule").isin(*own), None).otherwise(F.col("rule")).alias("rule"), "verdict")
 
 
@@ -171,12 +210,13 @@ def _sql() -> str:
     site = sorted((site_rule(*r) for r in SITE_RULES), key=lambda r: r.rank, reverse=True)
     rule = " ".join(f"WHEN (host = {q(h)} OR ends_with(host, {q('.' + h)})) AND starts_with(path, {q(p)}) THEN {q(h + p)}" for h, p in ((r.name.partition("/")[0], "/" + r.name.partition("/")[2]) for r in site))
     verdict = " ".join(f"WHEN {q(r.name)} THEN {q(r.verdict)}" for r in site)
-    own = " OR ".join(f"strpos('.' || host || path, {q(p)}) > 0" for p in PATTERN_RULES)
+    mine = sorted((pattern_rule(*p) for p in PATTERN_RULES), key=lambda r: r.rank, reverse=True)
+    own = " ".join(f"WHEN regexp_matches('.' || host || path, {q(r.regex.removeprefix('.*?').replace(chr(92) + 'Z', chr(92) + 'z').replace(chr(92) + '-', '-'))}, 's') THEN {q(r.verdict)}" for r in mine)
     return f"""WITH u AS (SELECT page_id, CASE WHEN {has} THEN {rest} ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   CASE WHEN strpos(rest, '/') > 0 THEN substr(rest, strpos(rest, '/')) ELSE '' END AS path FROM u),
 r AS (SELECT *, CASE {rule} END AS rule FROM h)
-SELECT page_id, host, path, rule, CASE rule {verdict} ELSE CASE WHEN {own} THEN 'block' ELSE 'allow' END END AS verdict FROM r"""
+SELECT page_id, host, path, rule, CASE rule {verdict} ELSE CASE {own} ELSE 'allow' END END AS verdict FROM r"""
 
 
 OP7_SQL = _sql()
