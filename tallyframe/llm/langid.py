@@ -67,7 +67,8 @@ def grams(texts: list[bytes], sizes: tuple[int, ...]) -> tuple[np.ndarray, np.nd
 
 @dataclass
 class LanguageFilter:
-    """languages: names, one bit each (at most 64); slots: masks; false: each language's rate of false positives."""
+    """languages: names, one bit each; slots: masks, as many rows of slots as the languages fill words of bits; false: each
+    language's rate of false positives."""
 
     languages: list[str]
     slots: np.ndarray
@@ -78,38 +79,40 @@ class LanguageFilter:
     @classmethod
     def build(cls, grams_of: dict[str, np.ndarray], bits: int = 18, n_hash: int = 3, sizes: tuple[int, ...] = (3, 4)) -> LanguageFilter:
         names = sorted(grams_of)
-        if len(names) > 64:
-            raise ValueError("a filter has at most 64 languages")
         kind = np.uint8 if len(names) <= 8 else np.uint64
-        slots = np.zeros(1 << bits, kind)
+        width = 8 * kind().itemsize
+        slots = np.zeros((max(1, -(-len(names) // width)), 1 << bits), kind)
         self = cls(names, slots, n_hash, sizes, np.zeros(len(names)))
         for i, name in enumerate(names):
             for at in self._places(grams_of[name]):
-                np.bitwise_or.at(slots, at, kind(1 << i))
-        fill = np.array([((slots >> kind(i)) & kind(1)).mean() for i in range(len(names))]) if names else np.zeros(0)
+                np.bitwise_or.at(slots[i // width], at, kind(1 << i % width))
+        fill = np.array([((slots[i // width] >> kind(i % width)) & kind(1)).mean() for i in range(len(names))]) if names else np.zeros(0)
         self.false = fill**n_hash
         return self
 
     def _places(self, h: np.ndarray) -> Iterator[np.ndarray]:
-        size = np.uint64(len(self.slots) - 1)
+        size = np.uint64(self.slots.shape[1] - 1)
         for k in range(self.n_hash):
             yield ((h >> np.uint64(20 * k)) & size).astype(np.int64)
 
-    def masks(self, h: np.ndarray) -> np.ndarray:
-        """For each n-gram the languages that may have it."""
+    def masks(self, h: np.ndarray, word: int = 0) -> np.ndarray:
+        """For each n-gram the languages that may have it, of those in this word of bits."""
         places = self._places(h)
-        out = self.slots[next(places)]
+        out = self.slots[word][next(places)]
         for at in places:
-            out = out & self.slots[at]
+            out = out & self.slots[word][at]
         return out
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], list[float]]:
         h, owner, letters = grams(texts, self.sizes)
         total = np.bincount(owner, minlength=len(texts))
-        mask = self.masks(h)
         share = np.zeros((len(texts), len(self.languages)))
+        kind = self.slots.dtype.type
+        width = 8 * self.slots.dtype.itemsize
         for i in range(len(self.languages)):
-            hits = np.bincount(owner[(mask >> self.slots.dtype.type(i)) & self.slots.dtype.type(1) > 0], minlength=len(texts))
+            if i % width == 0:
+                mask = self.masks(h, i // width)
+            hits = np.bincount(owner[(mask >> kind(i % width)) & kind(1) > 0], minlength=len(texts))
             # hits = true + (total - true) * false
             share[:, i] = np.maximum(0, hits - total * self.false[i]) / (1 - self.false[i])
         share /= np.maximum(1, total)[:, None]
@@ -126,7 +129,8 @@ def train_filter(df: DataFrame, text: str = "text", label: str = "lang", *, rows
 
     A bounded sample: about `rows_per_label` texts of each label (all, if it has no more different ones), chosen by their hash. Of each
     label the `grams_per_label` commonest n-grams are kept, less those that are four times as common in another. The
-    driver gathers that many counts for each label, and labels must be at most 64.
+    driver gathers that many counts for each label; any number of labels. Rows with a null text or label teach nothing, copies
+    of a text count once, and without any labelled row the filter knows no language.
     """
     rows = df.filter(F.col(f"`{label}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").alias("label"))
     n = {r.label: r.n for r in rows.groupBy("label").agg(F.count_distinct(F.xxhash64("text")).alias("n")).collect()}
@@ -170,6 +174,8 @@ def identify(df: DataFrame, model: LanguageFilter, text: str = "text", *, keep:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
-    model = train_filter(docs.filter("not held_out").select("text", "lang"))
+    """A null doc_id has no remainder: such a row is not held out, and teaches nothing."""
+    docs = table(spark, sf_dir, "documents").withColumn("remainder", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5)
+    docs = docs.withColumn("held_out", F.coalesce(F.col("remainder") == 0, F.lit(False)))
+    model = train_filter(docs.filter("remainder != 0").select("text", "lang"))
     return identify(docs.select("doc_id", "held_out", "text"), model, keep=["doc_id", "held_out"])

@@ -29,7 +29,7 @@ def line_fails(line: bytes, n_words: int) -> str | None:
     navigation: up to 30 words with two menu separators, or with one in up to 8 words.
     boilerplate: up to 40 words and a phrase of site furniture.
     symbols: at least 3 symbols, and more than one for ten words.
-    punctuation: over 4 words, no end of a sentence, and no word in it that is longer than one letter ends one.
+    punctuation: over 4 words, no end of a sentence at its end, and no full stop with a blank behind it inside.
     """
     if n_words <= 30:
         menus = len(MENU.findall(line))

@@ -54,3 +54,56 @@ def test_labels_of_copies_are_learned(spark):
     rows = [(t, k) for k, v in texts.items() for t in v] * 300
     model = L.train_filter(spark.createDataFrame(rows, "text string, lang string"), rows_per_label=3)
     assert model.predict([t.encode() for v in texts.values() for t in v])[0] == ["xx"] * 3 + ["yy"] * 3
+
+
+def plain_grams(text, sizes):
+    """Every n-gram of every word, cut out letter by letter."""
+    out, word = [], ""
+    for c in text + " ":
+        if c.isalpha():
+            word += c.lower() if len(c.lower()) == 1 else c
+        elif word:
+            out += [(" " + word + " ")[i : i + n] for n in sizes for i in range(len(word) + 3 - n) if len(word) + 2 >= n]
+            word = ""
+    return out
+
+
+def test_predictions_equal_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    docs = [(r.text, r.lang) for r in spark.read.parquet(f"{d}/documents.parquet").select("text", "lang").filter("text is not null").collect()]
+    own = {}
+    for text, lang in docs[::3]:
+        own.setdefault(lang, set()).update(plain_grams(text, (3, 4)))
+    whole = {k: np.unique(L.grams([t.encode() for t, lang in docs[::3] if lang == k], (3, 4))[0]) for k in own}
+    assert all(len(whole[k]) == len(v) for k, v in own.items())  # as many different n-grams as cut out by hand
+    f = L.LanguageFilter.build(whole, bits=22)
+    texts = [t for t, _ in docs[1:200]]
+    names, scores = f.predict([t.encode() for t in texts])
+    for t, name, score in zip(texts, names, scores, strict=True):
+        g = plain_grams(t, (3, 4))
+        share = {k: sum(x in own[k] for x in g) / max(1, len(g)) for k in f.languages}
+        if not any(c.isalpha() for c in t):
+            assert (name, score) == ("und", 0.0)
+            continue
+        assert share[name] >= max(share.values()) - 0.002
+        assert abs(score - share[name] / sum(share.values())) < 0.01
+
+
+def test_more_than_64_languages():
+    rng = np.random.default_rng(4)
+    own = {f"l{i:03}": rng.integers(0, 2**63, 300).astype(np.uint64) for i in range(150)}
+    f = L.LanguageFilter.build(own, bits=16)
+    assert f.slots.shape == (3, 1 << 16)
+    for i, k in enumerate(f.languages):
+        assert ((f.masks(own[k], i // 64) >> np.uint64(i % 64)) & np.uint64(1)).all()
+    words = {"".join(chr(97 + int(c)) for c in rng.integers(0, 26, 12)): k for k in own}
+    many = L.LanguageFilter.build({k: L.grams([w.encode()], (3, 4))[0] for w, k in words.items()}, bits=16)
+    assert many.predict([w.encode() for w in words])[0] == list(words.values())
+
+
+def test_null_ids(spark, tmp_path):
+    rows = [(None, "aba cede fogi", "xx", None, 1), (3, "zwek vrilk tronk", "yy", None, 1), (5, None, "yy", None, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in L.op5_language_id(spark, str(tmp_path)).collect()}
+    assert [out[i].held_out for i in (None, 3, 5)] == [False] + [zlib.crc32(str(i).encode()) % 5 == 0 for i in (3, 5)]
+    assert out[None].lang_pred in ("yy", "und") and out[5].lang_pred == "und"
