@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_frame, col, listed, need_columns
+from .common import as_frame, col, join_groups, listed, need_columns
 
 
 def valid(x: Column) -> Column:
@@ -14,13 +14,36 @@ def valid(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x)
 
 
-def quantile_breaks(x: Column, n: int, accuracy: int | None = None) -> Column:
-    """Aggregate: n + 1 breaks, linear between order statistics; with `accuracy` the approximate sketch, for columns with very many values."""
-    points = [i / n for i in range(n + 1)]
-    x = F.when(valid(x.cast("double")), x.cast("double"))
-    if accuracy:
-        return F.percentile_approx(x, points, accuracy)
-    return F.percentile(x, F.array(*map(F.lit, points)))
+def range_of(x: Column, cuts: Column) -> Column:
+    """How many of the sorted cuts are under x: first among every so many, then inside, so about 2 * sqrt(n) comparisons."""
+    block = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(cuts))).cast("int"))
+    whole = F.floor(F.size(cuts) / block).cast("int")
+    before = F.when(whole > 0, F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), whole)), lambda k: F.element_at(cuts, k * block) < x))).otherwise(0)
+    return F.element_at(F.transform(F.array(before), lambda k: k * block + F.size(F.filter(F.slice(cuts, k * block + 1, block), lambda c: c < x))), 1)
+
+
+def running_sums(counts: DataFrame, value: str, sums: list[str], by=None, descending: bool = False, lot: int = 50_000) -> DataFrame:
+    """Add {c}_upto for each of `sums`: the sum over the rows of the group up to this value. One row for each group and value.
+
+    The values are cut into ranges of about `lot` rows (at most 4,096, in groups 512), rows are added up inside each, and the
+    ranges' totals give what comes before; a window sees a range, or one row for each range.
+    """
+    by = listed(by)
+    groups = [col(g) for g in by]
+    most = 512 if by else 4096
+    x = col(value).cast("double")
+    cuts = counts.groupBy(*groups).agg(F.percentile_approx(x, [i / most for i in range(1, most)], 8 * most).alias("__cuts"), F.count("*").alias("__rows"))
+    every = F.greatest(F.lit(1), F.floor(F.lit(float(most) * lot) / F.col("__rows"))).cast("int")
+    cuts = cuts.select(*groups, F.array_distinct(F.filter("__cuts", lambda c, i: (i + 1) % every == 0)).alias("__cuts"))
+    parted = join_groups(counts, cuts, by).withColumn("__part", range_of(x, F.col("__cuts"))).drop("__cuts")
+    totals = parted.groupBy(*groups, "__part").agg(*[F.sum(c).alias(f"__t{i}") for i, c in enumerate(sums)])
+    order = F.desc("__part") if descending else F.asc("__part")
+    before = W.partitionBy(*groups).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(*groups, "__part", *[F.coalesce(F.sum(f"__t{i}").over(before), F.lit(0)).alias(f"__b{i}") for i in range(len(sums))])
+    inside = W.partitionBy(*groups, "__part").orderBy(F.desc(value) if descending else F.asc(value)).rowsBetween(W.unboundedPreceding, 0)
+    joined = join_groups(parted, totals, [*by, "__part"])
+    upto = {f"{c}_upto": F.col(f"__b{i}") + F.sum(c).over(inside) for i, c in enumerate(sums)}
+    return joined.withColumns(upto).drop("__part", *[f"__b{i}" for i in range(len(sums))])
 
 
 def place(x: Column, breaks: Column, right: bool = True, include_lowest: bool = True) -> Column:
@@ -38,40 +61,51 @@ def place(x: Column, breaks: Column, right: bool = True, include_lowest: bool =
     return F.when(valid(x), bin_.cast("int"))
 
 
-def exact_breaks(df: DataFrame, var: str, n: int, name: str = "__breaks") -> DataFrame:
-    """One row: the n + 1 breaks of a column, found among the ranks of its distinct values.
+def exact_quantiles(df: DataFrame, var: str, points: list[float], name: str = "__breaks", by=None) -> DataFrame:
+    """One row, or one for each group: the quantiles of a column at `points`, linear between order statistics.
 
     Unlike the percentile aggregate, no task holds all values: they are counted, ranked range by range, and only the two
-    order statistics next to each break are picked.
+    order statistics next to each point are picked. Null and NaN are left out; without values there is no row, or a null.
     """
-    x = col(var).cast("double")
-    ranks = average_ranks(df.select(x.alias("__x")).filter(valid(F.col("__x"))), "__x")
-    spans = ranks.select(F.col("__x"), (F.col("rank") + (F.col("n") - 1) / 2).alias("__upto"), "n")
-    total = spans.agg(F.max("__upto").alias("__all"))
-    both = spans.crossJoin(F.broadcast(total))  # one row
+    by = listed(by)
+    groups = [col(g) for g in by]
+    kept = df.select(*groups, col(var).cast("double").alias("__x")).filter(valid(F.col("__x")))
+    counts = kept.groupBy(*groups, "__x").agg(F.count("*").alias("__n"))
+    spans = running_sums(counts, "__x", ["__n"], by)
+    total = counts.groupBy(*groups).agg(F.sum("__n").alias("__all"))
+    both = join_groups(spans, total, by)
     picks = []
-    for i in range(n + 1):
-        at = (F.col("__all") - 1) * i / n
+    for i, p in enumerate(points):
+        at = (F.col("__all") - 1) * p
         for k, place_ in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            inside = (F.col("__upto") - F.col("n") <= place_) & (place_ < F.col("__upto"))
-            picks.append(F.max(F.when(inside, F.col("__x"))).alias(f"{k}{i}"))
-    one = both.agg(F.max("__all").alias("__all"), *picks)
-    breaks = []
-    for i in range(n + 1):
-        at = (F.col("__all") - 1) * i / n
-        breaks.append(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (at - F.floor(at)))
-    return one.select(F.when(F.col("__all").isNotNull(), F.array(*breaks)).alias(name))
+            inside = (F.col("__n_upto") - F.col("__n") <= place_) & (place_ < F.col("__n_upto"))
+            picks.append(F.max(F.when(inside, F.col("__x"))).alias(f"__{k}{i}"))
+    one = both.groupBy(*groups).agg(F.max("__all").alias("__all"), *picks)
+    found = []
+    for i, p in enumerate(points):
+        at = (F.col("__all") - 1) * p
+        found.append(F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (at - F.floor(at)))
+    return one.select(*groups, F.when(F.col("__all").isNotNull(), F.array(*found)).alias(name))
+
+
+def exact_breaks(df: DataFrame, var: str, n: int, name: str = "__breaks", by=None) -> DataFrame:
+    """The n + 1 breaks of a column, of each group with `by`."""
+    return exact_quantiles(df, var, [i / n for i in range(n + 1)], name, by)
 
 
 def xtile(data, var: str, n: int = 5, rev: bool = False, by=None, name: str = "bin", accuracy: int | None = None) -> DataFrame:
-    """Add the quantile bin of `var` (of its group, with `by`), 1 to n, right-closed; rev: the highest values get bin 1."""
+    """Add the quantile bin of `var` (of its group, with `by`), 1 to n, right-closed; rev: the highest values get bin 1.
+
+    Exact at every size; `accuracy` takes the approximate sketch instead. A null group is a group of its own, a null value has no bin.
+    """
     df, by = as_frame(data), listed(by)
     need_columns(df, [var, *by])
-    if by or accuracy:
-        breaks = df.groupBy(*map(col, by)).agg(quantile_breaks(col(var), n, accuracy).alias("__breaks"))
+    if accuracy:
+        x = F.when(valid(col(var).cast("double")), col(var).cast("double"))
+        breaks = df.groupBy(*map(col, by)).agg(F.percentile_approx(x, [i / n for i in range(n + 1)], accuracy).alias("__breaks"))
     else:
-        breaks = exact_breaks(df, var, n)
-    joined = df.join(breaks, by) if by else df.crossJoin(F.broadcast(breaks))  # one row
+        breaks = exact_breaks(df, var, n, by=by)
+    joined = join_groups(df, breaks, by, "left")
     b = place(col(var), F.col("__breaks"))
     return joined.withColumn(name, n + 1 - b if rev else b).drop("__breaks")
 
@@ -91,12 +125,5 @@ def average_ranks(df: DataFrame, value: str, by=None, weight: str | None = None)
     by = listed(by)
     n = F.sum(col(weight)) if weight else F.count(F.lit(1))
     counts = df.filter(col(value).isNotNull()).groupBy(*map(col, by), col(value)).agg(n.cast("double").alias("n"))
-    borders = counts.groupBy(*map(col, by)).agg(F.percentile_approx(col(value).cast("double"), [i / 64 for i in range(1, 64)], 1000).alias("__cuts"))
-    parted = counts.join(F.broadcast(borders), by) if by else counts.crossJoin(F.broadcast(borders))  # one row, or one for each group
-    parted = parted.withColumn("__part", F.size(F.filter("__cuts", lambda b: b < col(value).cast("double")))).drop("__cuts")
-    totals = parted.groupBy(*map(col, by), "__part").agg(F.sum("n").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(W.partitionBy(*map(col, by)).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    totals = totals.withColumn("__before", before).drop("__n")
-    upto = F.sum("n").over(W.partitionBy(*map(col, by), "__part").orderBy(col(value)).rowsBetween(W.unboundedPreceding, 0))
-    joined = parted.join(totals, [*by, "__part"])
-    return joined.select(*map(col, by), col(value), "n", (F.col("__before") + upto - (F.col("n") - 1) / 2).alias("rank"))
+    ranked = running_sums(counts, value, ["n"], by)
+    return ranked.select(*map(col, by), col(value), "n", (F.col("n_upto") - (F.col("n") - 1) / 2).alias("rank"))

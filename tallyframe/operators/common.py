@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,14 +79,29 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def levels_of(df: DataFrame, name: str, levels: list | None = None) -> list:
-    """Ordered levels: those given, those in the column's metadata, or the distinct values in ascending order."""
+def join_groups(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Rows of left with the columns of right's row for their group, a null being a group of its own; without groups, of its one row."""
+    if not by:
+        return left.crossJoin(F.broadcast(right))  # one row
+    renamed = right.select(*[col(g).alias(f"__group{i}") for i, g in enumerate(by)], *[col(c) for c in right.columns if c not in by])
+    same = reduce(lambda a, b: a & b, [col(g).eqNullSafe(F.col(f"__group{i}")) for i, g in enumerate(by)])
+    return left.join(renamed, same, how).drop(*[f"__group{i}" for i in range(len(by))])
+
+
+def levels_of(df: DataFrame, name: str, levels: list | None = None, most: int = 10_000) -> list:
+    """Ordered levels: those given, those in the column's metadata, or the distinct values in ascending order.
+
+    Levels come to the driver; more than `most` raise ValueError.
+    """
     if levels is not None:
         return list(levels)
     meta = df.schema[name].metadata or {}
     if "levels" in meta:
         return list(meta["levels"])
-    return [r[0] for r in df.select(col(name)).filter(col(name).isNotNull()).distinct().orderBy(col(name)).collect()]
+    found = [r[0] for r in df.select(col(name)).filter(col(name).isNotNull()).distinct().orderBy(col(name)).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{name} has more than {most} levels")
+    return found
 
 
 def first_seen_levels(df: DataFrame, name: str, order_by: str) -> list:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_frame, col, is_integer, is_numeric, listed, named, need_columns
+from .common import as_frame, col, is_integer, is_numeric, join_groups, listed, named, need_columns
 from .explore import explore
 
 
@@ -20,16 +20,15 @@ def value_counts(data, var: str, by=None) -> DataFrame:
     counts = df.groupBy(*map(col, by), col(var)).agg(F.count("*").alias("count"))
     if by:
         return counts.withColumn("proportion", F.col("count") / F.sum("count").over(W.partitionBy(*map(col, by))))
-    every = W.partitionBy()
-    top = F.max(F.struct(F.col("count").alias("c"), col(var).alias("v"))).over(every)["v"]
-    return counts.select(
-        col(var),
-        "count",
-        (F.col("count") / F.sum("count").over(every)).alias("proportion"),
-        F.count(F.lit(1)).over(every).alias("n_unique"),
-        top.alias("mode"),
-        F.coalesce(F.sum(F.when(col(var).isNull(), F.col("count"))).over(every), F.lit(0)).alias("n_missing"),
+    whole = counts.agg(
+        F.sum("count").alias("__all"),
+        F.count(F.lit(1)).alias("n_unique"),
+        F.max(F.struct(F.col("count").alias("c"), col(var).alias("v")))["v"].alias("mode"),
+        F.coalesce(F.sum(F.when(col(var).isNull(), F.col("count"))), F.lit(0)).alias("n_missing"),
     )
+    values = counts.withColumnRenamed(var, "__value")
+    out = join_groups(values, whole, []).withColumn("proportion", F.col("count") / F.col("__all"))
+    return out.select(F.col("__value").alias(var), "count", "proportion", "n_unique", "mode", "n_missing")
 
 
 def other_columns(data, columns) -> DataFrame:

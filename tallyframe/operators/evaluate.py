@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bins import average_ranks, exact_breaks, valid, xtile
-from .common import as_frame, col, listed, need_columns, ratio
+from .bins import average_ranks, exact_breaks, running_sums, valid, xtile
+from .common import as_frame, col, join_groups, listed, need_columns, ratio
 
 
 def _datasets(data) -> dict[str, DataFrame]:
@@ -182,17 +182,9 @@ def expected_profit(data, pred: str, cost: float = 1, margin: float = 2) -> Data
     """
     df = as_frame(data)
     counts = df.filter(valid(col(pred).cast("double"))).groupBy(col(pred).cast("double").alias("pred")).agg(F.count("*").alias("n"))
-    borders = counts.agg(F.percentile_approx("pred", [i / 64 for i in range(1, 64)], 1000).alias("__cuts"))
-    parted = counts.crossJoin(F.broadcast(borders)).withColumn("__part", F.size(F.filter("__cuts", lambda b: b > F.col("pred")))).drop("__cuts")  # one row
-    gain = F.col("n") * (F.col("pred") * margin - cost)
-    parted = parted.withColumn("g", gain)
-    totals = parted.groupBy("__part").agg(F.sum("n").alias("tn"), F.sum("g").alias("tg"))
-    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select("__part", F.coalesce(F.sum("tn").over(before), F.lit(0)).alias("bn"), F.coalesce(F.sum("tg").over(before), F.lit(0.0)).alias("bg"), F.sum("tn").over(W.partitionBy()).alias("all"))
-    upto = W.partitionBy("__part").orderBy(F.desc("pred")).rowsBetween(W.unboundedPreceding, 0)
-    out = parted.join(totals, "__part")
-    cum = F.col("bn") + F.sum("n").over(upto)
-    return out.select("pred", cum.alias("cum_n"), (cum / F.col("all")).alias("cum_prop"), (F.col("bg") + F.sum("g").over(upto)).alias("profit"))
+    counts = counts.withColumn("gain", F.col("n") * (F.col("pred") * margin - cost))
+    out = join_groups(running_sums(counts, "pred", ["n", "gain"], descending=True), counts.agg(F.sum("n").alias("all")), [])
+    return out.select("pred", F.col("n_upto").alias("cum_n"), (F.col("n_upto") / F.col("all")).alias("cum_prop"), F.col("gain_upto").alias("profit"))
 
 
 CURVES = {"gains": gains_tab, "lift": lift_tab, "profit": profit_tab, "rome": rome_tab, "uplift": uplift_tab, "inc_profit": None}

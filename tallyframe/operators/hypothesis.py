@@ -10,13 +10,12 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import special as S
 from ..functions.text import ci_label, format_pval, sig_stars
-from .bins import average_ranks
-from .common import col, is_numeric, levels_of, listed, named, need_columns, numeric_columns
+from .bins import average_ranks, running_sums
+from .common import col, is_numeric, join_groups, levels_of, listed, named, need_columns, numeric_columns
 from .moments import group_moments
 from .reshape import unpivot
 from .rows import sample_rows
@@ -139,13 +138,22 @@ def _pairs(levels: list, comb) -> list[tuple]:
     return out
 
 
-def rank_sums(df: DataFrame, group: str, value: str, a, b) -> tuple[float, int, int]:
-    """(sum of the ranks of group a among both, its size, the other's)."""
-    two = df.filter(col(group).isin([a, b]) & col(value).isNotNull())
-    ranks = average_ranks(two.select(col(value).alias("__v")), "__v").select(F.col("__v").alias("__w"), "rank")
-    counts = two.groupBy(col(value).alias("__v")).agg(F.count_if(col(group) == F.lit(a)).alias("na"), F.count_if(col(group) == F.lit(b)).alias("nb"))
-    r = counts.join(ranks, F.col("__v") == F.col("__w")).agg(F.sum(F.col("rank") * F.col("na")), F.sum("na"), F.sum("nb")).first()
-    return r[0] or 0.0, r[1] or 0, r[2] or 0
+def rank_sums(df: DataFrame, group: str, value: str, pairs: list[tuple]) -> list[tuple[float, int, int]]:
+    """For each pair of groups (sum of the ranks of the first among both, its size, the other's), all pairs in one plan.
+
+    Values are counted by group once; each count goes to the pairs that its group is in, where values are ranked.
+    """
+    if not pairs:
+        return []
+    counts = df.filter(col(value).isNotNull()).groupBy(col(group).alias("g"), col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    member = F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(g).alias("of"), F.lit(k).alias("side")) for i, p in enumerate(pairs) for k, g in enumerate(p)])
+    mine = counts.withColumn("__in", F.explode(F.filter(member, lambda m: m["of"] == F.col("g"))))
+    side = lambda k: F.sum(F.when(F.col("__in.side") == k, F.col("c")).otherwise(0))
+    both = mine.groupBy(F.col("__in.pair").alias("pair"), "v").agg(F.sum("c").cast("double").alias("n"), side(0).alias("na"), side(1).alias("nb"))
+    ranked = running_sums(both, "v", ["n"], ["pair"])
+    rank = F.col("n_upto") - (F.col("n") - 1) / 2
+    found = {r.pair: (r.w or 0.0, r.a or 0, r.b or 0) for r in ranked.groupBy("pair").agg(F.sum(rank * F.col("na")).alias("w"), F.sum("na").alias("a"), F.sum("nb").alias("b")).collect()}
+    return [found.get(i, (0.0, 0, 0)) for i in range(len(pairs))]
 
 
 def compare_means(data, var1: str, var2, comb=None, alt_hyp: str = "two-sided", conf: float = 0.95, sample_type: str = "independent", adjust: str | None = None, test_type: str = "t-test", pair_by=None, levels: list | None = None) -> Result:
@@ -178,7 +186,9 @@ def compare_means(data, var1: str, var2, comb=None, alt_hyp: str = "two-sided",
         stats.append({group: g, "mean": r["mean"] if r else None, "n": n, "n_missing": r.n_missing if r else 0, "sd": sd, "se": se, "me": me})
     by = {s[group]: s for s in stats}
     rows = []
-    for a, b in _pairs(levels, comb):
+    pairs = _pairs(levels, comb)
+    ranks = rank_sums(df, group, value, pairs) if sample_type != "paired" and test_type != "t-test" else [None] * len(pairs)
+    for (a, b), ranked in zip(pairs, ranks, strict=True):
         x, y = by[a], by[b]
         mean_a, mean_b = (s["mean"] if s["mean"] is not None else math.nan for s in (x, y))
         diff = mean_a - mean_b
@@ -191,7 +201,7 @@ def compare_means(data, var1: str, var2, comb=None, alt_hyp: str = "two-sided",
             stat = _over(diff, math.sqrt(spread)) if spread == spread else math.nan
             p = _p(stat, alt_hyp, lambda v, k=dof: S.t_cdf(v, k)) if dof == dof else math.nan
         else:
-            total, n, m = rank_sums(df, group, value, a, b)
+            total, n, m = ranked
             stat = (total - n * (n + m + 1) / 2) / math.sqrt(n * m * (n + m + 1) / 12) if n and m else math.nan
             p = _p(stat, alt_hyp, S.norm_cdf)
         row = {"null_hyp": f"{a} = {b}", "alt_hyp": f"{a} {'!=' if alt_hyp == 'two-sided' else '>' if alt_hyp == 'greater' else '<'} {b}", "diff": diff, "statistic": stat, "p_value": p}
@@ -372,10 +382,14 @@ def correlation(data, vars=None, method: str = "pearson", sample: int | None = N
         aggs += [F.count(x).alias(f"n{i}"), F.covar_samp(x, y).alias(f"c{i}"), F.corr(x, y).alias(f"r{i}")]
     row = df.agg(*aggs).first() if pairs else None
     rows = []
+    by_rank: dict[int, float | None] = {}
+    if method == "spearman" and pairs:  # one job for all pairs
+        frames = [spearman_frame(df, a, b).select(F.lit(i).alias("i"), "r") for i, (a, b) in enumerate(pairs)]
+        by_rank = {x.i: x.r for x in reduce(DataFrame.union, frames).collect()}
     for i, (a, b) in enumerate(pairs):
         n, cov, r = row[f"n{i}"], row[f"c{i}"], row[f"r{i}"]
         if method == "spearman":
-            r = spearman_frame(df, a, b).first().r
+            r = by_rank[i]
         elif method == "kendall":
             kept = df.filter(both[a, b]).select(col(a), col(b))
             if sample is not None and n > sample:
@@ -409,8 +423,7 @@ def crosstab_frame(df: DataFrame, var1: str, var2: str) -> DataFrame:
     rows = counts.groupBy("v1").agg(F.sum("observed").alias("row_total"))
     cols = counts.groupBy("v2").agg(F.sum("observed").alias("col_total"))
     cells = rows.crossJoin(cols).join(counts, ["v1", "v2"], "left").fillna(0, ["observed"])  # levels, not rows
-    total = F.sum("observed").over(W.partitionBy())
-    cells = cells.withColumn("total", total).withColumn("expected", F.col("row_total") * F.col("col_total") / F.col("total"))
+    cells = join_groups(cells, counts.agg(F.sum("observed").alias("total")), []).withColumn("expected", F.col("row_total") * F.col("col_total") / F.col("total"))
     off = F.col("observed") - F.col("expected")
     return cells.select(
         F.col("v1").alias(var1),
@@ -425,10 +438,15 @@ def crosstab_frame(df: DataFrame, var1: str, var2: str) -> DataFrame:
     )
 
 
-def cross_tabs(data, var1: str, var2: str) -> Result:
-    """Chi-square test of independence without continuity correction; rows with a null are left out and counted."""
+def cross_tabs(data, var1: str, var2: str, most: int = 1000) -> Result:
+    """Chi-square test of independence without continuity correction; rows with a null are left out and counted.
+
+    All pairs of levels come to the driver; a variable with more than `most` levels raises ValueError.
+    """
     d = named(data)
     need_columns(d.df, [var1, var2])
+    for v in (var1, var2):
+        levels_of(d.df.select(col(v).cast("string").alias(v)), v, most=most)
     cells = [r.asDict() for r in crosstab_frame(d.df, var1, var2).orderBy(col(var1), col(var2)).collect()]
     missing = d.df.filter(col(var1).isNull() | col(var2).isNull()).count()
     a, b = len({c[var1] for c in cells}), len({c[var2] for c in cells})

@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_frame, col, levels_of, listed, need_columns
+from .bins import exact_quantiles
+from .common import as_frame, col, join_groups, levels_of, listed, need_columns
 from .explore import AGGREGATES
 
 PIVOT_AGGREGATES = ("count", "sum", "mean", "median", "min", "max", "std", "var")
@@ -39,12 +39,16 @@ def pivot(data, rows, cols=None, values=None, agg: str = "count", normalize: str
     need_columns(df, rows + cols + listed(values))
     normalize = None if normalize == "none" else normalize
     name = "count" if values is None else f"{values}_{agg}"
-    value = F.count(F.lit(1)) if values is None else AGGREGATES[agg](col(values))
+    if agg == "median":  # one row for each cell, from which first takes the value
+        cells_ = exact_quantiles(df, values, [0.5], "__m", [*rows, *cols])
+        df = join_groups(df.groupBy(*map(col, [*rows, *cols])).agg(F.count("*").alias("__n")), cells_, [*rows, *cols], "left").withColumn(values, F.get("__m", F.lit(0)))
+    value = F.count(F.lit(1)) if values is None else F.first(col(values)) if agg == "median" else AGGREGATES[agg](col(values))
     keys = [col(r) for r in rows]
     if not cols:
         out = df.groupBy(*keys).agg(value.alias(name))
         if normalize:
-            out = out.withColumn(f"{name}_pct", 100 * F.try_divide(col(name).cast("double"), F.sum(col(name).cast("double")).over(W.partitionBy())))
+            all_ = out.agg(F.sum(col(name).cast("double")).alias("__all"))
+            out = join_groups(out, all_, []).withColumn(f"{name}_pct", 100 * F.try_divide(col(name).cast("double"), F.col("__all"))).drop("__all")
         if totals:
             numbers = [c for c in out.columns if c not in rows]
             grouped = out.select(*[col(r).cast("string").alias(r) for r in rows], *[col(c).cast("double").alias(c) for c in numbers])
@@ -70,8 +74,8 @@ def pivot(data, rows, cols=None, values=None, agg: str = "count", normalize: str
         shares = {c: 100 * F.try_divide(col(c), total) for c in cells}
         out = out.withColumns(shares | ({"Total": F.lit(100.0)} if totals else {}))
     elif normalize:
-        every = W.partitionBy()
-        sums = {c: F.sum(col(c)).over(every) for c in cells}
+        sums = {c: F.col(f"__s{i}") for i, c in enumerate(cells)}
         whole = reduce(lambda a, b: a + b, [F.coalesce(s, F.lit(0.0)) for s in sums.values()])
-        out = out.withColumns({c: 100 * F.try_divide(col(c), sums[c] if normalize == "column" else whole) for c in cells})
+        out = join_groups(out, out.agg(*[F.sum(col(c)).alias(f"__s{i}") for i, c in enumerate(cells)]), [])
+        out = out.withColumns({c: 100 * F.try_divide(col(c), sums[c] if normalize == "column" else whole) for c in cells}).drop(*[f"__s{i}" for i in range(len(cells))])
     return out.fillna(fill) if fill is not None and values is None else out

@@ -59,8 +59,23 @@ def make_train(data, key, strat_var=None, test_size: float = 0.3, seed: int = 12
     return out.withColumn(name, (F.col("__before") + F.col("__rank") > F.round(F.col("__all") * test_size)).cast("int")).select(*map(col, df.columns), name)
 
 
+def shifted(data, x: str, order_by, num: int = 1, fill=None, name: str | None = None) -> DataFrame:
+    """Add the value of `x` from `num` rows before in the order of the whole table (after, for a negative `num`), as `name`.
+
+    lag and lead without `by` would order the whole table in one task; here rows are numbered range by range and joined on
+    the number. Rows without such a neighbour, and null values, get `fill`.
+    """
+    df = as_frame(data)
+    need_columns(df, [x, *listed(order_by)])
+    rows = numbered(df, listed(order_by), "__at")
+    other = rows.select((F.col("__at") + num).alias("__to"), col(x).alias("__x"))
+    value = F.col("__x") if fill is None else F.coalesce("__x", F.lit(fill))
+    return rows.join(other, F.col("__at") == F.col("__to"), "left").select(*map(col, df.columns), value.alias(name or f"{x}_{'lag' if num > 0 else 'lead'}"))
+
+
 def lag(x: str | Column, order_by, num: int = 1, fill=None, by=None) -> Column:
-    """The value `num` rows before in the order; `fill` replaces every null of the result."""
+    """The value `num` rows before in the order; `fill` replaces every null of the result. Without `by` one task orders the
+    whole table: `shifted` does that for large ones."""
     c = F.lag(col(x) if isinstance(x, str) else x, num).over(W.partitionBy(*map(col, listed(by))).orderBy(*map(col, listed(order_by))))
     return c if fill is None else F.coalesce(c, F.lit(fill))
 

@@ -7,8 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.bins import valid
-from ..operators.common import as_frame, col, is_numeric, listed, need_columns
+from ..operators.bins import exact_quantiles, valid
+from ..operators.common import as_frame, col, is_numeric, join_groups, listed, need_columns
 from ..operators.distr import classify, value_counts
 from ..operators.explore import AGGREGATES
 from ..operators.hypothesis import crosstab_frame
@@ -41,8 +41,7 @@ def box_data(data, y: str, x=None) -> DataFrame:
     df, by = as_frame(data), listed(x)
     v = col(y).cast("double")
     df = df.filter(valid(v))
-    q = df.groupBy(*map(col, by)).agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"))
-    joined = df.join(q, by) if by else df.crossJoin(F.broadcast(q))  # one row
+    joined = join_groups(df, exact_quantiles(df, y, [0.25, 0.5, 0.75], "__q", by), by)
     a, z = F.get("__q", F.lit(0)), F.get("__q", F.lit(2))
     out = joined.groupBy(*map(col, by), "__q").agg(F.min(F.when(v >= a - 1.5 * (z - a), v)).alias("low"), F.max(F.when(v <= z + 1.5 * (z - a), v)).alias("high"))
     return out.select(*map(col, by), a.alias("q1"), F.get("__q", F.lit(1)).alias("median"), z.alias("q3"), "low", "high")
