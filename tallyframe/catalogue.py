@@ -109,10 +109,11 @@ def unpivot_long(spark, d):
 
 
 def _join_inputs(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), table(spark, d, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_acctbal").alias("o_totalprice"), "c_mktsegment")
+    # All rows of both; the customers' keys are shifted, so that both sides have keys without a match.
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), table(spark, d, "customer").select((F.col("c_custkey") + 100).alias("o_custkey"), F.col("c_acctbal").alias("o_totalprice"), "c_mktsegment")
 
 
-_J = "FROM (SELECT o_orderkey, o_custkey, o_totalprice FROM orders) x {0} JOIN (SELECT c_custkey AS o_custkey, c_acctbal AS o_totalprice, c_mktsegment FROM customer WHERE c_custkey % 3 = 0) y ON x.o_custkey = y.o_custkey"
+_J = "FROM (SELECT o_orderkey, o_custkey, o_totalprice FROM orders) x {0} JOIN (SELECT c_custkey + 100 AS o_custkey, c_acctbal AS o_totalprice, c_mktsegment FROM customer) y ON x.o_custkey = y.o_custkey"
 _JC = "SELECT o_orderkey, {key}, x.o_totalprice, y.o_totalprice AS o_totalprice_right, c_mktsegment "
 
 
@@ -151,11 +152,11 @@ def bind_cols(spark, d):
 def _set_inputs(spark, d):
     line = table(spark, d, "lineitem")
     x = line.select((F.col("l_partkey") % 50).alias("k"), F.when(F.col("l_returnflag") == "A", None).otherwise(F.col("l_returnflag")).alias("f"))
-    return x, x.filter("k % 3 = 0")
+    return x, x.select((F.col("k") + 20).alias("k"), "f")  # all rows, shifted
 
 
 _SX = "(SELECT l_partkey % 50 AS k, nullif(l_returnflag, 'A') AS f FROM lineitem)"
-_SY = f"(SELECT * FROM {_SX} WHERE k % 3 = 0)"
+_SY = f"(SELECT k + 20 AS k, f FROM {_SX})"
 
 
 @query(f"SELECT x.* FROM {_SX} x SEMI JOIN {_SY} y USING (k, f)")
@@ -437,3 +438,6 @@ def logistic_scores(spark, d):
 @query()
 def training_flags(spark, d):
     return rows.make_train(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus")
+
+
+from . import catalogue_more  # noqa: E402, F401 - adds its queries to the same tables
