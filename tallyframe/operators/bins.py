@@ -61,15 +61,16 @@ def place(x: Column, breaks: Column, right: bool = True, include_lowest: bool =
     return F.when(valid(x), bin_.cast("int"))
 
 
-def exact_quantiles(df: DataFrame, var: str, points: list[float], name: str = "__breaks", by=None) -> DataFrame:
+def exact_quantiles(df: DataFrame, var: str, points: list[float], name: str = "__breaks", by=None, nan: bool = False) -> DataFrame:
     """One row, or one for each group: the quantiles of a column at `points`, linear between order statistics.
 
     Unlike the percentile aggregate, no task holds all values: they are counted, ranked range by range, and only the two
-    order statistics next to each point are picked. Null and NaN are left out; without values there is no row, or a null.
+    order statistics next to each point are picked. Nulls are left out, and NaN unless `nan`, which makes it the largest value;
+    without values there is no row, or a null.
     """
     by = listed(by)
     groups = [col(g) for g in by]
-    kept = df.select(*groups, col(var).cast("double").alias("__x")).filter(valid(F.col("__x")))
+    kept = df.select(*groups, col(var).cast("double").alias("__x")).filter(F.col("__x").isNotNull() if nan else valid(F.col("__x")))
     counts = kept.groupBy(*groups, "__x").agg(F.count("*").alias("__n"))
     spans = running_sums(counts, "__x", ["__n"], by)
     total = counts.groupBy(*groups).agg(F.sum("__n").alias("__all"))

@@ -32,7 +32,7 @@ DEFAULT = ("mean", "median", "min", "max", "sd")
 def medians(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
     """One row (for each group): {column}_median. The columns are put below each other and all medians found in one plan."""
     below = F.inline(F.array(*[F.struct(F.lit(i).alias("__i"), col(c).cast("double").alias("__v")) for i, c in enumerate(cols)]))
-    found = exact_quantiles(df.select(*map(col, by), below), "__v", [0.5], "__m", [*by, "__i"])
+    found = exact_quantiles(df.select(*map(col, by), below), "__v", [0.5], "__m", [*by, "__i"], nan=True)
     return found.groupBy(*map(col, by)).agg(*[F.max(F.when(F.col("__i") == i, F.get("__m", F.lit(0)))).alias(f"{c}_median") for i, c in enumerate(cols)])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import json
 import math
@@ -11,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .combine import numbered
 from .common import col, listed, named, need_columns, numeric_columns
 from .design import Design
 from .evaluate import _auc_frame, evalreg
@@ -96,7 +98,8 @@ class Learner:
 
 
 class rforest(Learner):
-    """Random forest. out_of_fold gives predictions of each row by a forest that has not seen it, in place of out-of-bag ones."""
+    """Random forest. out_of_bag gives each row the mean prediction of the bags that have not drawn it; out_of_fold that of a
+    forest fitted without its fold."""
 
     title = "Random forest"
 
@@ -112,6 +115,34 @@ class rforest(Learner):
         self._train = train
         self.model = self._estimator().fit(train)
 
+    def out_of_bag(self, bags: int = 10) -> DataFrame:
+        """The rows with `prediction`: each of `bags` bags draws every row a Poisson number of times (by its hash) and grows its
+        share of the trees; a row is predicted by the bags that drew it zero times. Null for a row that every bag drew."""
+        total, parts, p = self.settings.get("n_estimators", 100), [], []
+        chance = [math.exp(-1) / math.factorial(k) for k in range(8)]
+        for b in range(bags):
+            u = F.pmod(F.xxhash64(F.lit(self.seed), F.lit(b), "__key"), F.lit(1 << 30)) / float(1 << 30)
+            drawn = reduce(lambda x, y: x + y, [(u >= sum(chance[: k + 1])).cast("double") for k in range(len(chance))])
+            bag = self._train.withColumn("__drawn", drawn)
+            n = total // bags + (b < total % bags)
+            if not n:
+                continue
+            model = self._estimator().setNumTrees(n).setSeed(self.seed + b).setWeightCol("__drawn").fit(bag.filter("__drawn > 0"))
+            keep, self.model = self.model, model
+            try:
+                parts.append(self._score(bag.filter("__drawn = 0").drop("__features", "__label", "__drawn")).select("__key", "prediction"))
+            finally:
+                self.model = keep
+        mean = reduce(DataFrame.unionByName, parts).groupBy("__key").agg(F.avg("prediction").alias("prediction"))  # equal rows, equal keys
+        return self._train.drop("__features", "__label").join(mean, "__key", "left").drop("__key")
+
+    def oob_score(self, bags: int = 10) -> float | None:
+        """AUC, or R-squared, of the out-of-bag predictions."""
+        scored = self.out_of_bag(bags).filter("prediction is not null")
+        if self.mod_type == "classification":
+            return _auc_frame(scored, col(self.rvar).cast("string") == F.lit(str(self.lev)), "prediction", []).first()[0]
+        return evalreg(scored, self.rvar, "prediction", 6).first().r2
+
     def out_of_fold(self, folds: int = 5) -> DataFrame:
         fold = F.pmod(F.xxhash64(F.lit(self.seed), "__key"), F.lit(folds))
         parts = []
@@ -129,7 +160,11 @@ class rforest(Learner):
 
 
 class xgboost(Learner):
-    """Gradient-boosted trees: logistic loss for a class, squared loss for a value."""
+    """Gradient-boosted trees: logistic loss for a class, squared loss for a value.
+
+    Settings and defaults: n_estimators 100, max_depth 6, learning_rate 0.3, min_child_weight 1, subsample 1,
+    colsample_bytree 1 (a share of the columns; drawn anew for each node of a tree).
+    """
 
     title = "Boosted trees"
 
@@ -138,7 +173,7 @@ class xgboost(Learner):
         from pyspark.ml.regression import GBTRegressor
 
         s = self.settings
-        common = {"featuresCol": "__features", "labelCol": "__label", "predictionCol": "__prediction", "seed": self.seed, "maxIter": s.get("n_estimators", 50), "maxDepth": s.get("max_depth", 4), "stepSize": s.get("learning_rate", 0.1), "subsamplingRate": s.get("subsample", 1.0), "minInstancesPerNode": max(1, int(s.get("min_child_weight", 1)))}
+        common = {"featuresCol": "__features", "labelCol": "__label", "predictionCol": "__prediction", "seed": self.seed, "maxIter": s.get("n_estimators", 100), "maxDepth": s.get("max_depth", 6), "stepSize": s.get("learning_rate", 0.3), "subsamplingRate": s.get("subsample", 1.0), "minInstancesPerNode": max(1, int(s.get("min_child_weight", 1))), "featureSubsetStrategy": "all" if s.get("colsample_bytree", 1) >= 1 else str(float(s["colsample_bytree"]))}
         self.model = (GBTClassifier if self.mod_type == "classification" else GBTRegressor)(**common).fit(train)
 
 
@@ -262,32 +297,63 @@ def _lbfgs(f, x: np.ndarray, steps: int, memory: int = 10, tol: float = 1e-6) ->
     return x
 
 
-def cross_validation(kind: type, data, rvar: str, lev=None, evar=None, mod_type: str = "classification", param_grid: dict | None = None, n_splits: int = 5, seed: int = 1234, cache: str | None = None, **settings) -> dict:
-    """Mean score (AUC, or R-squared) of each combination of settings over folds by a hash of the row; the best one's settings.
+SCORES = {"classification": ("auc", "accuracy"), "regression": ("r2", "rmse")}
+
+
+def _scores(model: Learner, test: DataFrame, names: list[str]) -> dict[str, float | None]:
+    """auc, accuracy (at one half), r2, rmse, mse and mae of a model on a frame, in one pass for all but auc."""
+    scored = model.predict(model.design.complete(test, model.rvar))
+    if model.mod_type == "classification":
+        hit = col(model.rvar).cast("string") == F.lit(str(model.lev))
+        known = {"auc": lambda: _auc_frame(scored, hit, "prediction", []).first()[0], "accuracy": lambda: scored.agg(F.avg((hit == (F.col("prediction") > 0.5)).cast("double"))).first()[0]}
+    else:
+        fit = evalreg(scored, model.rvar, "prediction", 9).first()
+        fit = fit.asDict() if fit else {}
+        known = {k: lambda k=k: fit.get(k) for k in ("r2", "mse", "mae")} | {"rmse": lambda: math.sqrt(fit["mse"]) if fit.get("mse") is not None else None}
+    unknown = [n for n in names if n not in known]
+    if unknown:
+        raise ValueError(f"Unknown scores: {', '.join(unknown)}; known: {', '.join(known)}")
+    return {n: known[n]() for n in names}
+
+
+def cross_validation(kind: type, data, rvar: str, lev=None, evar=None, mod_type: str = "classification", param_grid: dict | None = None, scoring: list[str] | None = None, n_splits: int = 5, seed: int = 1234, cache: str | None = None, **settings) -> dict:
+    """Mean scores of each combination of settings over folds; best_params are those of the best first score.
 
-    `cache`: a folder (of any file system Spark reaches) that keeps the result as JSON and from which it is taken again.
+    scoring: auc and accuracy for a class, r2 and rmse for a value (the lower the better, as for mse and mae). For a class the
+    folds have equal shares of each of its levels. results: params, mean (of the first score), scores (by fold) and all
+    (mean and folds of every score). `cache`: a folder (of any file system Spark reaches) that keeps each result as JSON
+    under a digest of the model, the variables, the grid, the folds and the settings, from which it is taken again.
     """
     d = named(data)
     spark = d.df.sparkSession
+    names = listed(scoring) or list(SCORES[mod_type])
     if cache:
+        asked = [kind.__name__, d.name, sorted(d.df.dtypes), rvar, lev, listed(evar), mod_type, param_grid, names, n_splits, seed, settings]
+        cache = f"{cache}/{hashlib.sha256(json.dumps(asked, sort_keys=True, default=str).encode()).hexdigest()[:32]}"
         try:
             return json.loads(spark.read.text(cache).first()[0])
         except Exception as e:  # no such folder yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
     design = Design.of(d.df, listed(evar), intercept=False)
-    fold = F.pmod(F.xxhash64(F.lit(seed), *map(col, d.df.columns)), F.lit(n_splits))
+    draw = F.xxhash64(F.lit(seed), *map(col, d.df.columns))
+    if mod_type == "classification":
+        folded = numbered(d.df.withColumn("__draw", draw), [rvar, "__draw"], "__at").withColumn("__fold", F.col("__at") % n_splits).drop("__draw", "__at")
+    else:
+        folded = d.df.withColumn("__fold", F.pmod(draw, F.lit(n_splits)))
+    folded = folded.persist()
+    part = lambda same, k: folded.filter((F.col("__fold") == k) == same).drop("__fold")
     grid = [dict(zip(param_grid or {}, v, strict=True)) for v in itertools.product(*(param_grid or {}).values())]
     rows = []
     for g in grid:
-        scores = []
-        for k in range(n_splits):
-            m = kind(d.df.filter(fold != k), rvar, lev, evar, mod_type, design.levels, seed, **settings, **g)
-            scores.append(m.metrics(d.df.filter(fold == k))["auc" if mod_type == "classification" else "r2"])
-        kept = [s for s in scores if s is not None]
-        rows.append({"params": g, "mean": sum(kept) / len(kept) if kept else None, "scores": scores})
-    best = max(rows, key=lambda r: -math.inf if r["mean"] is None else r["mean"])
-    out = {"results": rows, "best_params": best["params"], "best_score": best["mean"]}
+        scores = [_scores(kind(part(False, k), rvar, lev, evar, mod_type, design.levels, seed, **settings, **g), part(True, k), names) for k in range(n_splits)]
+        by = {n: [s[n] for s in scores if s[n] is not None] for n in names}
+        every = {n: {"mean": sum(v) / len(v) if v else None, "folds": [s[n] for s in scores]} for n, v in by.items()}
+        rows.append({"params": g, "mean": every[names[0]]["mean"], "scores": every[names[0]]["folds"], "all": every})
+    folded.unpersist()
+    sign = -1 if names[0] in ("rmse", "mse", "mae") else 1
+    best = max(rows, key=lambda r: -math.inf if r["mean"] is None else sign * r["mean"])
+    out = {"results": rows, "best_params": best["params"], "best_score": best["mean"], "scoring": names}
     if cache:
         spark.createDataFrame([(json.dumps(out),)], "value string").coalesce(1).write.text(cache)
     return out

@@ -40,7 +40,7 @@ def pivot(data, rows, cols=None, values=None, agg: str = "count", normalize: str
     normalize = None if normalize == "none" else normalize
     name = "count" if values is None else f"{values}_{agg}"
     if agg == "median":  # one row for each cell, from which first takes the value
-        cells_ = exact_quantiles(df, values, [0.5], "__m", [*rows, *cols])
+        cells_ = exact_quantiles(df, values, [0.5], "__m", [*rows, *cols], nan=True)
         df = join_groups(df.groupBy(*map(col, [*rows, *cols])).agg(F.count("*").alias("__n")), cells_, [*rows, *cols], "left").withColumn(values, F.get("__m", F.lit(0)))
     value = F.count(F.lit(1)) if values is None else F.first(col(values)) if agg == "median" else AGGREGATES[agg](col(values))
     keys = [col(r) for r in rows]

@@ -43,10 +43,12 @@ def expand_grid(values: dict, schema: T.StructType | None = None, spark: SparkSe
     return out
 
 
-def get_dummies(data, drop_first: bool = True, categories: dict[str, list] | None = None, columns=None) -> DataFrame:
+def get_dummies(data, drop_first: bool = True, categories: dict[str, list] | None = None, columns=None, drop_nonvarying: bool = False) -> DataFrame:
     """0/1 columns {column}_{level} for every text column, after the other columns; nulls stay null.
 
     The first level (of `categories`, the column's metadata, or the order of values) is the baseline that drop_first drops.
+    drop_nonvarying leaves out the columns that have one value in all rows (levels that the data do not have, or only have);
+    without it all levels of a fit stay, so that predictions meet the same columns. It costs one aggregation.
     """
     df, categories = as_frame(data), categories or {}
     columns = listed(columns) or [f.name for f in df.schema if isinstance(f.dataType, T.StringType) or f.name in categories]
@@ -55,7 +57,12 @@ def get_dummies(data, drop_first: bool = True, categories: dict[str, list] | Non
     for c in columns:
         levels = levels_of(df, c, categories.get(c))
         made += [F.when(col(c).isNull(), None).when(col(c) == F.lit(x), 1).otherwise(0).cast("byte").alias(f"{c}_{x}") for x in levels[bool(drop_first) :]]
-    return df.select(*plain, *made)
+    out = df.select(*plain, *made)
+    if drop_nonvarying and made:
+        names = out.columns[len(plain) :]
+        ends = out.agg(*[f(col(c)).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("a", F.min), ("z", F.max))]).first()
+        out = out.drop(*[c for i, c in enumerate(names) if ends[f"a{i}"] == ends[f"z{i}"]])
+    return out
 
 
 def conditional_get_dummies(data, categories: dict[str, list] | None = None) -> DataFrame:
