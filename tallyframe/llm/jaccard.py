@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .shared import documents_of, mix, release, settle, slices, table, with_results, word_hashes
 
-_HOT = (1 << 31) - 1  # stands for the frequency of an n-gram that one task has met many times
 _PART, _PASSED, _SIZE, _MARK = range(4)  # kinds of rows that go to a fragment
 
 
@@ -132,7 +131,7 @@ def _fragment_rows(df: DataFrame, text: str, bits: int, width: int, hot: int, mo
 
 
 def _share_in_fragment(group: pa.Table, bits: int) -> pa.Table:
-    """Rows (key, n, shared, entries) for the documents of one fragment: entries are hash and frequency of each shared n-gram."""
+    """Rows (key, n, shared, entries) for the sets of one fragment: entries are the hashes of its n-grams that other sets have too."""
     frag = group.column("frag")[0].as_py()
     kind = group.column("kind")
 
@@ -162,27 +161,23 @@ def _share_in_fragment(group: pa.Table, bits: int) -> pa.Table:
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])
         h, doc = h[new], doc[new]
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    often = np.repeat(np.diff(np.append(first, len(h))), np.diff(np.append(first, len(h)))).astype(np.int32)
+    count = np.diff(np.append(first, len(h)))
+    shared = np.repeat(count > 1, count)
     if len(marked) and len(h):
-        often[marked[np.minimum(np.searchsorted(marked, h), len(marked) - 1)] == h] = _HOT
-    shared = often > 1
+        shared |= marked[np.minimum(np.searchsorted(marked, h), len(marked) - 1)] == h
     h = np.concatenate([h[shared], passed])
     doc = np.concatenate([doc[shared], np.repeat(passed_key, passed_count)])
-    often = np.concatenate([often[shared], np.full(len(passed), _HOT, np.int32)])
     order = np.argsort(doc, kind="stable")
-    entries = np.empty(len(h), [("h", np.uint64), ("n", np.int32)])
-    entries["h"], entries["n"], doc = h[order], often[order], doc[order]
+    h, doc = h[order], doc[order]
     at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
     ends = np.append(at, len(doc))
-    raw = entries.tobytes()
-    item = entries.dtype.itemsize
-    parts = [raw[i * item : j * item] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    parts = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(h)])
     return pa.table(
         {
             "key": pa.array(np.concatenate([key, doc[at]])),
             "n": pa.array(np.concatenate([size, np.zeros(len(at), np.int32)]).astype(np.int64)),
             "shared": pa.array(np.concatenate([np.zeros(len(key), np.int64), np.diff(ends)])),
-            "entries": pa.array([None] * len(key) + parts, pa.binary()),
+            "entries": pa.concat_arrays([pa.nulls(len(key), pa.binary()), parts]),
         }
     )
 
@@ -227,25 +222,22 @@ def parts_index(hashes: np.ndarray, size: int, percent: int) -> list[tuple[np.nd
 def _indexed(percent: int, fragments: int):
     """Per set: its parts for the index, each with twice the number of parts of its level that may go, plus one for every second
     level; and its shared n-grams by fragment of the order. No row for sets that can have no partner."""
-    dtype = np.dtype([("h", np.uint64), ("n", np.int32)])
     borders = (np.arange(1, fragments) * ((1 << 64) // fragments)).astype(np.uint64) if fragments > 1 else np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):
             keys, sizes, index, spare, grams, g_ends, ends = [], [], [], [], [], [], []
             for key, n, parts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                e = np.frombuffer(b"".join(parts), dtype)
-                _, at = np.unique(e["h"], return_index=True)  # copies in two tasks may have passed the same n-gram on
-                e = e[at]
-                found = parts_index(e["h"], n, percent)
+                h = np.unique(np.frombuffer(b"".join(parts), np.uint64))  # copies in two tasks may have passed the same n-gram on
+                found = parts_index(h, n, percent)
                 if found:
                     keys.append(key)
                     sizes.append(n)
                     index += [part.view(np.int64) for part, _ in found]
                     spare += [np.full(len(part), 2 * more + i % 2, np.int32) for i, (part, more) in enumerate(found)]
                     ends.append(sum(len(part) for part, _ in found))
-                    grams.append(e["h"].view(np.int64))
-                    g_ends.append(np.diff(np.concatenate([[0], np.searchsorted(e["h"], borders), [len(e)]])))
+                    grams.append(h.view(np.int64))
+                    g_ends.append(np.diff(np.concatenate([[0], np.searchsorted(h, borders), [len(h)]])))
             ends_of = lambda x: pa.array(np.concatenate([[0], np.cumsum(x)]).astype(np.int32))
             flat = lambda x, t=np.int64: pa.array(np.concatenate(x) if x else np.zeros(0, t))
             parts_of = pa.StructArray.from_arrays([flat(index), flat(spare, np.int32)], ["part", "spare"])
@@ -366,7 +358,7 @@ def _closure(live: DataFrame) -> DataFrame:
     return groups.join(groups.groupBy("root").agg(F.count("*").alias("members")), "root")
 
 
-def linked_sets(df: DataFrame, text: str, total: int, *, percent: int = 80, width: int = 5, fragment: int = 4_000_000, hot: int = 64, chunk: int = 128, fragments: int = 8, rounds: int = 2, small: int = 32) -> DataFrame:
+def linked_sets(df: DataFrame, text: str, total: int, *, percent: int = 80, width: int = 5, fragment: int = 1_000_000, hot: int = 64, chunk: int = 128, fragments: int = 8, rounds: int = 2, small: int = 32) -> DataFrame:
     """(node, root) for each set that links with a different one; total: the number of shingles, for the number of fragments.
 
     Sets that share an index part are candidates. In each round every set is paired with one candidate in another component,
