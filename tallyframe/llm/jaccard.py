@@ -182,6 +182,7 @@ def _share_in_fragment(group: pa.Table, bits: int) -> pa.Table:
     )
 
 
+_LOT = 1024  # sets of a part that meet its row in one place
 _PLAIN = 16  # sets of at most so many n-grams take each n-gram for a part
 _LEVEL, _EMPTY = 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7
 
@@ -337,24 +338,32 @@ def _rare_parts(sets: DataFrame) -> DataFrame:
     often = rows.groupBy("part").agg(F.count("*").alias("c")).filter("c > 1")
     rows = rows.join(often, "part")
     common = F.row_number().over(W.partitionBy("key", "spare").orderBy(F.desc("c"), F.desc("part")))
-    return rows.withColumn("place", common).filter(F.col("place") > F.floor(F.col("spare") / 2)).select("key", "part")
+    return rows.withColumn("place", common).filter(F.col("place") > F.floor(F.col("spare") / 2)).select("key", "part", "c")
+
+
+def _meet(rows: DataFrame, of_part: DataFrame) -> DataFrame:
+    """rows (key, part, c) with the columns of their part's row (part, c); a part that many sets have is dealt out by set."""
+    salts = F.ceil(F.col("c") / _LOT)
+    left = rows.withColumn("salt", F.pmod(F.xxhash64("key"), salts))
+    right = of_part.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("c")
+    return left.join(right, ["part", "salt"]).drop("salt")
 
 
 def _marked(live: DataFrame, links: DataFrame | None) -> DataFrame:
-    """(key, part, comp) of the parts whose sets are in two components or more."""
+    """(key, part, c, comp) of the parts whose sets are in two components or more."""
     if links is None:
-        marked = live.select("key", "part", F.col("key").alias("comp"))
+        marked = live.select("key", "part", "c", F.col("key").alias("comp"))
     else:
         known = connected_components(links, "a", "b").withColumnRenamed("node", "key")
-        marked = settle(live.select("key", "part").join(known, "key", "left").select("key", "part", F.coalesce("root", "key").alias("comp")))
-    open_ = marked.groupBy("part").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("part")
-    return settle(marked.join(open_, "part"))
+        marked = settle(live.select("key", "part", "c").join(known, "key", "left").select("key", "part", "c", F.coalesce("root", "key").alias("comp")))
+    open_ = marked.groupBy("part").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("c").alias("c")).filter("low != high").select("part", "c")
+    return settle(_meet(marked, open_))
 
 
 def _closure(live: DataFrame) -> DataFrame:
     """(node, root, members) of the groups of sets that share parts, directly or by others."""
-    least = live.groupBy("part").agg(F.min("key").alias("least"))
-    groups = connected_components(live.join(least, "part").select("key", "least"), "key", "least")
+    least = live.groupBy("part").agg(F.min("key").alias("least"), F.max("c").alias("c"))
+    groups = connected_components(_meet(live, least).select("key", "least"), "key", "least")
     return groups.join(groups.groupBy("root").agg(F.count("*").alias("members")), "root")
 
 
@@ -379,8 +388,8 @@ def linked_sets(df: DataFrame, text: str, total: int, *, percent: int = 80, widt
     links: DataFrame | None = None
     for turn in range(rounds):
         order = F.xxhash64("key", F.lit(turn))
-        hubs = live.groupBy("part").agg(F.min(F.struct(order.alias("at"), "key", "comp")).alias("hub"))
-        choice = live.join(hubs, "part").filter("comp != hub.comp").groupBy("key").agg(F.min("hub").alias("hub"))
+        hubs = live.groupBy("part").agg(F.min(F.struct(order.alias("at"), "key", "comp")).alias("hub"), F.max("c").alias("c"))
+        choice = _meet(live, hubs).filter("comp != hub.comp").groupBy("key").agg(F.min("hub").alias("hub"))
         pairs = choice.select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
         found.append(settle(linked_pairs(pairs, sets, percent)))
         links = reduce(DataFrame.union, found)
@@ -394,8 +403,7 @@ def linked_sets(df: DataFrame, text: str, total: int, *, percent: int = 80, widt
         found.append(settle(_blocks(groups.filter(F.col("members") <= large), sets, percent, chunk)))
         rest = live.join(groups.filter(F.col("members") > large).select(F.col("node").alias("key")), "key", "left_semi")
         if not groups.filter(F.col("members") > large).isEmpty():
-            sizes = rest.groupBy("part").agg(F.count("*").alias("c"))
-            rest = settle(rest.join(sizes, "part"))
+            rest = settle(rest)
             few = rest.filter(F.col("c") <= small)
             x, y = (few.select("part", F.col("key").alias(k), F.col("comp").alias(f"{k}_comp")) for k in "ab")
             pairs = x.join(y, "part").filter("a < b and a_comp != b_comp").select("a", "b").distinct()
