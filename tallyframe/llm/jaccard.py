@@ -220,14 +220,15 @@ def parts_index(hashes: np.ndarray, size: int, percent: int) -> list[tuple[np.nd
         level *= 2
 
 
-def _indexed(percent: int, fragments: int):
+def _indexed(percent: int, fragments: int, stars: int):
     """Per set: its parts for the index, each with twice the number of parts of its level that may go, plus one for every second
-    level; and its shared n-grams by fragment of the order. No row for sets that can have no partner."""
+    level; of each level the `stars` least parts by a hash; and its shared n-grams by fragment of the order. No row for sets
+    that can have no partner."""
     borders = (np.arange(1, fragments) * ((1 << 64) // fragments)).astype(np.uint64) if fragments > 1 else np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):
-            keys, sizes, index, spare, grams, g_ends, ends = [], [], [], [], [], [], []
+            keys, sizes, index, spare, grams, g_ends, ends, least, least_ends = [], [], [], [], [], [], [], [], []
             for key, n, parts in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 h = np.unique(np.frombuffer(b"".join(parts), np.uint64))  # copies in two tasks may have passed the same n-gram on
                 found = parts_index(h, n, percent)
@@ -237,6 +238,9 @@ def _indexed(percent: int, fragments: int):
                     index += [part.view(np.int64) for part, _ in found]
                     spare += [np.full(len(part), 2 * more + i % 2, np.int32) for i, (part, more) in enumerate(found)]
                     ends.append(sum(len(part) for part, _ in found))
+                    first = [np.partition(mix(part), min(stars, len(part)) - 1)[:stars] for part, _ in found]
+                    least += [x.view(np.int64) for x in first]
+                    least_ends.append(sum(map(len, first)))
                     grams.append(h.view(np.int64))
                     g_ends.append(np.diff(np.concatenate([[0], np.searchsorted(h, borders), [len(h)]])))
             ends_of = lambda x: pa.array(np.concatenate([[0], np.cumsum(x)]).astype(np.int32))
@@ -244,7 +248,7 @@ def _indexed(percent: int, fragments: int):
             parts_of = pa.StructArray.from_arrays([flat(index), flat(spare, np.int32)], ["part", "spare"])
             by_fragment = pa.ListArray.from_arrays(ends_of(np.concatenate(g_ends) if g_ends else []), flat(grams))
             every = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * fragments)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends_of(ends), parts_of), pa.ListArray.from_arrays(every, by_fragment)], ["key", "n", "index", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends_of(ends), parts_of), pa.ListArray.from_arrays(ends_of(least_ends), flat(least)), pa.ListArray.from_arrays(every, by_fragment)], ["key", "n", "index", "stars", "grams"])
 
     return run
 
@@ -332,13 +336,27 @@ def _blocks(groups: DataFrame, sets: DataFrame, percent: int, chunk: int) -> Dat
     return rows.groupBy("root", "i", "j").applyInArrow(_compare(percent), "a long, b long")
 
 
-def _rare_parts(sets: DataFrame) -> DataFrame:
-    """(key, part) of the index: of each set and level the parts that other sets have too, without the commonest that may go."""
-    rows = sets.select("key", F.inline("index"))
-    often = rows.groupBy("part").agg(F.count("*").alias("c")).filter("c > 1")
-    rows = rows.join(often, "part")
+def _star_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b): each set with one set, the same hub for all that share one of their least parts."""
+    stars = sets.select("key", F.explode("stars").alias("part"))
+    hubs = settle(stars.groupBy("part").agg(F.min("key").alias("hub"), F.count("*").alias("c")).filter("c > 1").drop("c"))
+    choice = stars.join(hubs, "part").groupBy("key").agg(F.min("hub").alias("hub")).filter("key != hub")
+    return choice.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+
+
+def _open_parts(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, part, c, comp) of the index: of each set and level the parts that sets of other components have too, without the
+    commonest that may go; c: how many sets have the part."""
+    known = connected_components(links, "a", "b").withColumnRenamed("node", "key")
+    placed = settle(sets.select("key", "index").join(known, "key", "left").select("key", F.coalesce("root", "key").alias("comp"), "index"))
+    rows = placed.select("key", "comp", F.inline("index"))
+    often = rows.groupBy("part").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    often = settle(often.filter("low != high").select("part", "c"))
+    # Parts of one component alone are no one's candidates; among the others the commonest of a set and level go.
     common = F.row_number().over(W.partitionBy("key", "spare").orderBy(F.desc("c"), F.desc("part")))
-    return rows.withColumn("place", common).filter(F.col("place") > F.floor(F.col("spare") / 2)).select("key", "part", "c")
+    out = settle(rows.join(often, "part").withColumn("place", common).filter(F.col("place") > F.floor(F.col("spare") / 2)).select("key", "part", "c", "comp"))
+    release(placed, often)
+    return out
 
 
 def _meet(rows: DataFrame, of_part: DataFrame) -> DataFrame:
@@ -349,15 +367,14 @@ def _meet(rows: DataFrame, of_part: DataFrame) -> DataFrame:
     return left.join(right, ["part", "salt"]).drop("salt")
 
 
-def _marked(live: DataFrame, links: DataFrame | None) -> DataFrame:
+def _marked(live: DataFrame, links: DataFrame) -> DataFrame:
     """(key, part, c, comp) of the parts whose sets are in two components or more."""
-    if links is None:
-        marked = live.select("key", "part", "c", F.col("key").alias("comp"))
-    else:
-        known = connected_components(links, "a", "b").withColumnRenamed("node", "key")
-        marked = settle(live.select("key", "part", "c").join(known, "key", "left").select("key", "part", "c", F.coalesce("root", "key").alias("comp")))
+    known = connected_components(links, "a", "b").withColumnRenamed("node", "key")
+    marked = settle(live.select("key", "part", "c").join(known, "key", "left").select("key", "part", "c", F.coalesce("root", "key").alias("comp")))
     open_ = marked.groupBy("part").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("c").alias("c")).filter("low != high").select("part", "c")
-    return settle(_meet(marked, open_))
+    out = settle(_meet(marked, open_))
+    release(marked)
+    return out
 
 
 def _closure(live: DataFrame) -> DataFrame:
@@ -367,37 +384,36 @@ def _closure(live: DataFrame) -> DataFrame:
     return groups.join(groups.groupBy("root").agg(F.count("*").alias("members")), "root")
 
 
-def linked_sets(df: DataFrame, text: str, total: int, *, percent: int = 80, width: int = 5, fragment: int = 1_000_000, hot: int = 64, chunk: int = 128, fragments: int = 8, rounds: int = 2, small: int = 32) -> DataFrame:
+def linked_sets(df: DataFrame, text: str, total: int, *, percent: int = 80, width: int = 5, fragment: int = 1_000_000, hot: int = 64, chunk: int = 128, fragments: int = 8, stars: int = 4, rounds: int = 1, small: int = 32) -> DataFrame:
     """(node, root) for each set that links with a different one; total: the number of shingles, for the number of fragments.
 
-    Sets that share an index part are candidates. In each round every set is paired with one candidate in another component,
-    the same hub for all sets of a part, and the pairs are counted by fragment. Parts whose sets are then all in one component
-    are done. What is left after `rounds` is compared whole: sets that share parts form groups, compared in blocks that emit a
-    tree of links; in groups of over 16 chunks only parts of more than `small` sets hold a group together, and the pairs of
-    smaller parts (at most `small` / 2 for each row of the index) are counted by fragment again.
+    Sets that share an index part are candidates. First each set is paired with the hub of one of its `stars` least parts, and
+    the pairs are counted by fragment. In each of the `rounds` that follow, over the parts whose sets are still in different
+    components, every set is paired with one candidate in another component, the same hub for all sets of a part. What is left
+    is compared whole: sets that share parts form groups, compared in blocks that emit a tree of links; in groups of over 16
+    chunks only parts of more than `small` sets hold a group together, and the pairs of smaller parts (at most `small` / 2 for
+    each row of the index) are counted by fragment again.
     """
     bits = max(5, math.ceil(math.log2(max(1, total) / fragment)))
     cut = _fragment_rows(df, text, bits, width, hot, min(8_000_000, max(1_000_000, 4 << bits)))
     shared = cut.groupBy("frag").applyInArrow(lambda group: _share_in_fragment(group, bits), "key long, n long, shared long, entries binary")
     counts = shared.groupBy("key").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), F.collect_list("entries").alias("entries"))
     able = counts.filter(F.col("shared") * 100 >= F.col("n") * percent).select("key", "n", "entries")
-    sets = settle(able.mapInArrow(_indexed(percent, fragments), "key long, n long, index array<struct<part: long, spare: int>>, grams array<array<long>>"))
+    sets = settle(able.mapInArrow(_indexed(percent, fragments, stars), "key long, n long, index array<struct<part: long, spare: int>>, stars array<long>, grams array<array<long>>"))
 
-    live = _marked(_rare_parts(sets), None)
-    found: list[DataFrame] = []
-    links: DataFrame | None = None
+    found = [settle(linked_pairs(_star_pairs(sets), sets, percent))]
+    live = _open_parts(sets, found[0])
     for turn in range(rounds):
+        if live.isEmpty():
+            break
         order = F.xxhash64("key", F.lit(turn))
         hubs = live.groupBy("part").agg(F.min(F.struct(order.alias("at"), "key", "comp")).alias("hub"), F.max("c").alias("c"))
         choice = _meet(live, hubs).filter("comp != hub.comp").groupBy("key").agg(F.min("hub").alias("hub"))
         pairs = choice.select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
         found.append(settle(linked_pairs(pairs, sets, percent)))
-        links = reduce(DataFrame.union, found)
-        before, live = live, _marked(live, links)
+        before, live = live, _marked(live, reduce(DataFrame.union, found))
         release(before)
-        if live.isEmpty():
-            break
-    else:
+    if not live.isEmpty():
         groups = settle(_closure(live))
         large = 16 * chunk
         found.append(settle(_blocks(groups.filter(F.col("members") <= large), sets, percent, chunk)))
@@ -409,7 +425,7 @@ def linked_sets(df: DataFrame, text: str, total: int, *, percent: int = 80, widt
             pairs = x.join(y, "part").filter("a < b and a_comp != b_comp").select("a", "b").distinct()
             found.append(settle(linked_pairs(pairs, sets, percent)))
             found.append(settle(_blocks(_closure(rest.filter(F.col("c") > small)), sets, percent, chunk)))
-    out = connected_components(reduce(DataFrame.union, found), "a", "b") if found else connected_components(live.select(F.col("key").alias("a"), F.col("comp").alias("b")).limit(0), "a", "b")
+    out = connected_components(reduce(DataFrame.union, found), "a", "b")
     release(live, sets, *found)
     return out
 
