@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free_name, slices, table, with_results
+from .shared import free_name, slices, table, tidy, with_results
 
 #: Samples of a frame, as blocks across and down, and frames a second.
 ACROSS, DOWN, RATE = 16, 12, 10
@@ -547,7 +547,7 @@ def clips(df: DataFrame, media: str = "media", *, keep: list[str] | None = None,
             old = batch.take(pa.array(origin))
             yield pa.RecordBatch.from_arrays([*old.columns[1:], *map(pa.array, zip(*rows, strict=True), types)], [f.name for f in kept] + results.names)
 
-    return source.mapInArrow(run, T.StructType([*kept, *results]))
+    return source.mapInArrow(tidy(run), T.StructType([*kept, *results]))
 
 
 def store_texts(df: DataFrame, text: str = "text", *, media_column: str | None = "media", keep: list[str] | None = None) -> DataFrame:

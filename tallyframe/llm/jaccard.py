@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import documents_of, mix, release, settle, slices, table, with_results, word_hashes
+from .shared import documents_of, give_back, mix, release, settle, slices, table, tidy, with_results, word_hashes
 
 _PART, _PASSED, _SIZE, _MARK = range(4)  # kinds of rows that go to a fragment
 
@@ -71,7 +71,7 @@ def _key(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _fragment_rows(df: DataFrame, text: str, bits: int, width: int, hot: int, most: int = 1_000_000) -> DataFrame:
+def _fragment_rows(df: DataFrame, text: str, bits: int, width: int, hot: int, most: int = 500_000) -> DataFrame:
     """Each task's distinct sets, cut into fragments: rows (frag, kind, keys, counts, hashes).
 
     Parts have six bytes for each n-gram, the 48 bits behind those that name its fragment: 53 bits of the hash or more.
@@ -127,7 +127,7 @@ def _fragment_rows(df: DataFrame, text: str, bits: int, width: int, hot: int, mo
         if keys:
             yield flush(keys, sets, turn + (keys[0] & 1023))
 
-    return df.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(f"`{text}`").alias("text")).mapInArrow(tidy(run), schema)
 
 
 def _share_in_fragment(group: pa.Table, bits: int) -> pa.Table:
@@ -172,6 +172,8 @@ def _share_in_fragment(group: pa.Table, bits: int) -> pa.Table:
     at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
     ends = np.append(at, len(doc))
     parts = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(h)])
+    del h, order
+    give_back()
     return pa.table(
         {
             "key": pa.array(np.concatenate([key, doc[at]])),
@@ -395,11 +397,11 @@ def linked_sets(df: DataFrame, text: str, total: int, *, percent: int = 80, widt
     each row of the index) are counted by fragment again.
     """
     bits = max(5, math.ceil(math.log2(max(1, total) / fragment)))
-    cut = _fragment_rows(df, text, bits, width, hot, min(8_000_000, max(1_000_000, 4 << bits)))
+    cut = _fragment_rows(df, text, bits, width, hot, min(8_000_000, max(500_000, 4 << bits)))
     shared = cut.groupBy("frag").applyInArrow(lambda group: _share_in_fragment(group, bits), "key long, n long, shared long, entries binary")
     counts = shared.groupBy("key").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), F.collect_list("entries").alias("entries"))
     able = counts.filter(F.col("shared") * 100 >= F.col("n") * percent).select("key", "n", "entries")
-    sets = settle(able.mapInArrow(_indexed(percent, fragments, stars), "key long, n long, index array<struct<part: long, spare: int>>, stars array<long>, grams array<array<long>>"))
+    sets = settle(able.mapInArrow(tidy(_indexed(percent, fragments, stars)), "key long, n long, index array<struct<part: long, spare: int>>, stars array<long>, grams array<array<long>>"))
 
     found = [settle(linked_pairs(_star_pairs(sets), sets, percent))]
     live = _open_parts(sets, found[0])

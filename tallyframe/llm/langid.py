@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import mix, slices, table, with_results
+from .shared import mix, slices, table, tidy, with_results
 
 _LETTERS: list[np.ndarray] = []
 
@@ -151,7 +151,7 @@ def train_filter(df: DataFrame, text: str = "text", label: str = "lang", *, rows
             c = np.bincount(at, weights=np.concatenate([p[1] for p in parts]), minlength=len(h))
             yield pa.RecordBatch.from_pydict({"label": pa.array([name] * len(h), pa.string()), "gram": pa.array(h.view(np.int64)), "n": pa.array(c.astype(np.int64))})
 
-    counts = rows.mapInArrow(count, "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidy(count), "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
     from pyspark.sql import Window as W
 
     total = F.sum("n").over(W.partitionBy("label"))

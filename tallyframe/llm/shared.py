@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import weakref
@@ -88,6 +89,28 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+_libc: list = []
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Python workers live on between tasks, and their allocators keep what a task has freed."""
+    if not _libc:
+        _libc.append(getattr(ctypes.CDLL(None), "malloc_trim", None))
+    pa.default_memory_pool().release_unused()
+    if _libc[0] is not None:
+        _libc[0](0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives its memory back when a task is done."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cut batches so that each has about `most` bytes of text (one row at least); yields it with the texts, null as b""."""
     for batch in batches:
@@ -121,7 +144,7 @@ def with_results(df: DataFrame, text: str, results: str, compute: Callable[[list
             new = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(compute(texts), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], fields)
 
-    return source.mapInArrow(run, T.StructType([*kept, *added]))
+    return source.mapInArrow(tidy(run), T.StructType([*kept, *added]))
 
 
 def _powers(base: int) -> np.ndarray:

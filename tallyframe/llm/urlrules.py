@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free_name, settle, table
+from .shared import free_name, settle, table, tidy
 
 TOKEN = re.compile("[a-z0-9]+")
 
@@ -146,7 +146,7 @@ def token_counts(urls: DataFrame, url: str, tokens: set[str]) -> dict[str, int]:
                 total.update(tokens.intersection(TOKEN.findall((host + path).lower())))
         yield pa.RecordBatch.from_pydict({"token": pa.array(total.keys(), pa.string()), "n": pa.array(total.values(), pa.int64())})
 
-    counted = urls.select(F.col(f"`{url}`")).mapInArrow(run, "token string, n long")
+    counted = urls.select(F.col(f"`{url}`")).mapInArrow(tidy(run), "token string, n long")
     return {r.token: r.n for r in counted.groupBy("token").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -188,7 +188,7 @@ def judge_urls(df: DataFrame, rules: tuple[Rule, ...], url: str = "url", *, keep
         if lo:
             state = settle(state)
         fields = [T.StructField(address, T.StringType()), *[df.schema[c] for c in kept], *results]
-        state = state.mapInArrow(run, T.StructType(fields))
+        state = state.mapInArrow(tidy(run), T.StructType(fields))
     return state.drop(address, place)
 
 
