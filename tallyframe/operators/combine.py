@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bins import range_of
 from .common import as_frame, col, listed, need_columns
 
 JOINS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "semi": "left_semi", "anti": "left_anti"}
@@ -48,29 +47,49 @@ def _join(x: DataFrame, y: DataFrame, left: list[str], right: list[str], how: st
     return joined.select(*out)
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "__row", lot: int = 50_000) -> DataFrame:
-    """Add consecutive numbers from 1 in the order, nulls first.
+def in_ranges(df: DataFrame, order: list[str], lot: int = 50_000) -> tuple[DataFrame, list[str], int]:
+    """Cut the order, nulls first, into ranges of about `lot` rows, at most 4,096: the frame with __part, ascending in the order,
+    and __tie, the row's hash; the columns that order a range; how many ranges there are.
 
-    Keys of all order columns, and of the row's hash, cut the order into ranges of about `lot` rows, at most 4,096; they come
-    from a sample of 16 rows for each range. Rows are ranked inside each range, and the ranges' totals, one row each, give
-    what comes before. No task sees all rows, also if one value of the first column has most of them.
+    The cuts are keys of all order columns and the hash, from a sample of 16 rows for each range, and fixed once drawn. They
+    are a tree of three levels with at most 15 cuts in a node, so a row is compared with few of them, in generated code.
     """
     hashed = [col(f.name) for f in df.schema if not isinstance(f.dataType, T.MapType | T.VariantType)]
     key = F.struct(*[col(c).alias(f"k{i}") for i, c in enumerate(order)], F.xxhash64(*hashed).alias("h"))
     ranges = min(4096, df.count() // lot + 1)
-    spark = df.sparkSession
-    if ranges > 1:
-        drawn = df.select(key.alias("k")).withColumn("r", F.rand(7)).orderBy("r").limit(16 * ranges).select("k").orderBy("k").collect()
-        borders = [r.k for r in drawn[16::16]]
-    else:
-        borders = []
-    kind = T.ArrayType(df.select(key.alias("k")).schema["k"].dataType)
-    cuts = spark.createDataFrame([(borders,)], T.StructType([T.StructField("__cuts", kind)]))
-    parted = df.crossJoin(F.broadcast(cuts)).withColumn("__part", range_of(key, F.array_distinct("__cuts"))).drop("__cuts")  # one row
-    totals = parted.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = totals.select(F.col("__part").alias("__of"), F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    ranked = parted.withColumn(name, F.row_number().over(W.partitionBy("__part").orderBy(*map(col, order), F.xxhash64(*hashed))))
-    return ranked.join(F.broadcast(before), F.col("__part") == F.col("__of")).withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__of", "__before")
+    parted, by = df.withColumns({"__tie": F.xxhash64(*hashed), "__part": F.lit(0)}), [*order, "__tie"]
+    if ranges == 1:
+        return parted, by, 1
+    drawn = df.select(key.alias("k")).withColumn("r", F.rand(7)).orderBy("r").limit(16 * ranges).select("k").orderBy("k").collect()
+    borders = [r.k for r in drawn[16::16]]
+    kind = df.select(key.alias("k")).schema["k"].dataType
+    width = next(w for w in range(2, 17) if w**3 >= ranges)
+    for level, step in enumerate((width**2, width, 1)):
+        cuts = [f"__cut{j}" for j in range(1, width)]
+        nodes = [(n, *[borders[at] if (at := (n * width + j) * step - 1) < len(borders) else None for j in range(1, width)]) for n in range(width**level)]
+        tree = df.sparkSession.createDataFrame(nodes, T.StructType([T.StructField("__node", T.IntegerType()), *[T.StructField(c, kind) for c in cuts]]))
+        under = sum((F.when(F.col(c) < key, 1).otherwise(0) for c in cuts), F.lit(0))
+        parted = parted.join(F.broadcast(tree), F.col("__part") == F.col("__node")).withColumn("__part", F.col("__part") * width + under).drop("__node", *cuts)
+    return parted, by, len(borders) + 1
+
+
+def rows_before(parted: DataFrame, descending: bool = False) -> DataFrame:
+    """(__of, __before, __n): for each range that has rows, the rows in the ranges before it (descending: after it), and its own."""
+    order = F.desc("__part") if descending else F.asc("__part")
+    before = F.coalesce(F.sum("__n").over(W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return parted.groupBy("__part").agg(F.count("*").alias("__n")).select(F.col("__part").alias("__of"), before.alias("__before"), "__n")
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "__row", lot: int = 50_000) -> DataFrame:
+    """Add consecutive numbers from 1 in the order, nulls first.
+
+    Rows are ranked inside each range of `in_ranges`, and the ranges' totals, one row each, give what comes before. No task
+    sees all rows, also if one value of the first column has most of them.
+    """
+    parted, by, _ = in_ranges(df, order, lot)
+    ranked = parted.withColumn(name, F.row_number().over(W.partitionBy("__part").orderBy(*map(col, by))))
+    before = rows_before(parted).drop("__n")
+    return ranked.join(F.broadcast(before), F.col("__part") == F.col("__of")).withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__tie", "__of", "__before")
 
 
 def combine(x, y, on=None, how: str = "inner", left_on=None, right_on=None, add=None, suffix: str = "_right", coalesce: bool = False, order_by=None) -> DataFrame:

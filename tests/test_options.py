@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 import zipfile
 
 import numpy as np
@@ -111,6 +112,26 @@ def test_shifted(spark):
     assert [r.nxt for r in rows.shifted(df, "v", "t", -1, 7, "nxt").orderBy("t").collect()] == [10, 20, 7, 40, 50, 7]
 
 
+def test_numbers_in_many_ranges_take_seconds(spark):
+    # Each row used to carry all cuts and to make them distinct anew, pair by pair.
+    df = spark.range(20_000).select("id", (F.col("id") * 7919 % 20_000).alias("t"))
+    started = time.monotonic()
+    got = sorted((r["__row"], r.t) for r in numbered(df, ["t"], lot=50).collect())
+    assert time.monotonic() - started < 60 and got == [(i + 1, i) for i in range(20_000)]
+
+
+@pytest.mark.parametrize("num", [3, -1, 25, -1000])
+@pytest.mark.parametrize("edges", [100_000, 0])
+def test_shifted_across_ranges(spark, monkeypatch, num, edges):
+    monkeypatch.setattr(rows, "_EDGES", edges)
+    data = [(i, (None, 1, 2, 2, 2, 3)[i * 7 % 6], None if i % 5 == 0 else float(i)) for i in range(300)]
+    df = spark.createDataFrame(data, "id int, k int, v double").repartition(3)
+    order = sorted(data, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    want = {order[i][0]: order[i - num][2] if 0 <= i - num < 300 else None for i in range(300)}
+    for lot in (10, 1000):
+        assert {r.id: r.z for r in rows.shifted(df, "v", ["k", "id"], num, None, "z", lot).collect()} == want
+
+
 def test_limits_of_levels(spark):
     df = spark.range(50).select(F.col("id").cast("string").alias("a"), (F.col("id") % 2).alias("b"))
     with pytest.raises(ValueError, match="more than 20 levels"):
