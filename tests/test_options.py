@@ -132,6 +132,18 @@ def test_shifted_across_ranges(spark, monkeypatch, num, edges):
         assert {r.id: r.z for r in rows.shifted(df, "v", ["k", "id"], num, None, "z", lot).collect()} == want
 
 
+def test_lead_joins_only_the_last_rows_of_ranges(spark):
+    df = spark.range(1000).select(F.col("id").alias("t"), (F.col("id") * 2).alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = rows.shifted(df, "v", "t", -1, -1)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin" in plan
+    assert [r.v_lead for r in out.orderBy("t").collect()] == [2 * i for i in range(1, 1000)] + [-1]
+
+
 def test_limits_of_levels(spark):
     df = spark.range(50).select(F.col("id").cast("string").alias("a"), (F.col("id") % 2).alias("b"))
     with pytest.raises(ValueError, match="more than 20 levels"):
