@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,30 +47,66 @@ def _join(x: DataFrame, y: DataFrame, left: list[str], right: list[str], how: st
     return joined.select(*out)
 
 
-def in_ranges(df: DataFrame, order: list[str], lot: int = 50_000) -> tuple[DataFrame, list[str], int]:
+def _among(cuts: list[Column], key: Column, first: int = 0) -> Column:
+    """`first` and how many of the sorted cuts, nulls last, are under the key, by halving."""
+    if not cuts:
+        return F.lit(first)
+    half = len(cuts) // 2
+    return F.when(cuts[half] < key, _among(cuts[half + 1 :], key, first + half + 1)).otherwise(_among(cuts[:half], key, first))
+
+
+def _nodes(spark: SparkSession, found, kinds: list[T.DataType], cuts: list[list[int | None]]) -> DataFrame:
+    """__node from 0, and for each of `cuts` a column with the rows of `found`, an Arrow table, at these places, as structs, null for no place."""
+    import pyarrow as pa
+
+    columns, flat, width = [pa.array(range(len(cuts[0])), pa.int32())], {"__node": T.IntegerType()}, len(kinds)
+    for j, at in enumerate(cuts):
+        columns += found.take(pa.array(at, pa.int64())).columns
+        flat |= {f"__cut{j}_{i}": kind for i, kind in enumerate(kinds)}
+    local = pa.table(columns, list(flat))
+    if any(isinstance(kind, T.StructType | T.ArrayType) for kind in kinds):  # tables with times inside of these are not taken
+        local = [tuple(r.values()) for r in local.to_pylist()]
+    structs = [F.when(F.col(f"__cut{j}_{width - 1}").isNotNull(), F.struct(*[F.col(f"__cut{j}_{i}").alias(f"k{i}") for i in range(width)])).alias(f"__cut{j}") for j in range(len(cuts))]
+    return spark.createDataFrame(local, T.StructType([T.StructField(c, kind) for c, kind in flat.items()])).select("__node", *structs)
+
+
+def in_ranges(df: DataFrame, order: list[str], lot: int = 50_000, near: int = 0) -> tuple[DataFrame, list[str], int]:
     """Cut the order, nulls first, into ranges of about `lot` rows, at most 4,096: the frame with __part, ascending in the order,
     and __tie, the row's hash; the columns that order a range; how many ranges there are.
 
     The cuts are keys of all order columns and the hash, from a sample of 16 rows for each range, and fixed once drawn. They
-    are a tree of three levels with at most 15 cuts in a node, so a row is compared with few of them, in generated code.
+    are a tree of three levels with a few cuts in a node, so a row is compared with few of them, in generated code.
+
+    With `near`, 1 to 16 (below 0: -16 to -1), and more than one range, __also is true for at least so many of the last (first)
+    rows of each range that another range follows (comes before). It is true above (up to) the key that lies so many places
+    before (after) the cut in the sample, and rows of the sample are rows.
     """
     hashed = [col(f.name) for f in df.schema if not isinstance(f.dataType, T.MapType | T.VariantType)]
-    key = F.struct(*[col(c).alias(f"k{i}") for i, c in enumerate(order)], F.xxhash64(*hashed).alias("h"))
     ranges = min(4096, df.count() // lot + 1)
     parted, by = df.withColumns({"__tie": F.xxhash64(*hashed), "__part": F.lit(0)}), [*order, "__tie"]
     if ranges == 1:
         return parted, by, 1
-    drawn = df.select(key.alias("k")).withColumn("r", F.rand(7)).orderBy("r").limit(16 * ranges).select("k").orderBy("k").collect()
-    borders = [r.k for r in drawn[16::16]]
-    kind = df.select(key.alias("k")).schema["k"].dataType
-    width = next(w for w in range(2, 17) if w**3 >= ranges)
-    for level, step in enumerate((width**2, width, 1)):
-        cuts = [f"__cut{j}" for j in range(1, width)]
-        nodes = [(n, *[borders[at] if (at := (n * width + j) * step - 1) < len(borders) else None for j in range(1, width)]) for n in range(width**level)]
-        tree = df.sparkSession.createDataFrame(nodes, T.StructType([T.StructField("__node", T.IntegerType()), *[T.StructField(c, kind) for c in cuts]]))
-        under = sum((F.when(F.col(c) < key, 1).otherwise(0) for c in cuts), F.lit(0))
-        parted = parted.join(F.broadcast(tree), F.col("__part") == F.col("__node")).withColumn("__part", F.col("__part") * width + under).drop("__node", *cuts)
-    return parted, by, len(borders) + 1
+    parted = parted.withColumn("__key", F.struct(*[col(c).alias(f"k{i}") for i, c in enumerate(by)]))
+    drawn = parted.select("__key", F.rand(7).alias("r")).orderBy("r").limit(16 * ranges).select("__key.*")
+    kinds, found = [f.dataType for f in drawn.schema], drawn.orderBy(*drawn.columns).toArrow()
+    hashes = found.column(len(by) - 1).to_pylist()
+    found = found.take([i for i, h in enumerate(hashes) if i == 0 or h != hashes[i - 1]])  # equal rows are one cut
+    borders = list(range(16, found.num_rows, 16))
+    if not borders:
+        return parted.drop("__key"), by, 1
+    n = len(borders)
+    width = next(w for w in range(2, 17) if w**3 > n)
+    for step in (width**2, width, 1):
+        at = [[(m * width + j) * step - 1 for m in range(width**3 // (step * width))] for j in range(1, width)]
+        tree = _nodes(df.sparkSession, found, kinds, [[borders[k] if k < n else None for k in ks] for ks in at])
+        under = _among([F.col(f"__cut{j}") for j in range(width - 1)], F.col("__key"))
+        parted = parted.join(F.broadcast(tree), F.col("__part") == F.col("__node")).withColumn("__part", F.col("__part") * width + under).drop(*tree.columns)
+    if near:
+        ends = [b - near for b in borders]
+        ends = _nodes(df.sparkSession, found, kinds, [[*ends, None] if near > 0 else [None, *[e if e < found.num_rows else None for e in ends]]])
+        above = F.coalesce(F.col("__cut0") < F.col("__key"), F.lit(False))
+        parted = parted.join(F.broadcast(ends), F.col("__part") == F.col("__node")).withColumn("__also", above if near > 0 else (F.col("__part") > 0) & ~above).drop(*ends.columns)
+    return parted.drop("__key"), by, n + 1
 
 
 def rows_before(parted: DataFrame, descending: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ import zipfile
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyframe.operators import bins, explain, learners, pivot, reshape, rows
@@ -144,6 +145,30 @@ def test_lead_joins_only_the_last_rows_of_ranges(spark):
     assert [r.v_lead for r in out.orderBy("t").collect()] == [2 * i for i in range(1, 1000)] + [-1]
 
 
+def test_lead_of_many_ranges_takes_one_shuffle(spark):
+    # Counts of the ranges and their last rows used to be two more passes over the table.
+    df = spark.range(4000).select((F.col("id") * 7919 % 4000).alias("t"), F.col("id").alias("v"))
+    want = {r.t: r.v for r in df.collect()}
+    for num in (-1, 16):
+        out = rows.shifted(df, "v", "t", num, name="z", lot=50)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Exchange SinglePartition" not in plan
+        assert {r.t: r.z for r in out.collect()} == {t: want.get(t - num) for t in want}
+
+
+@pytest.mark.parametrize("num", [1, -1, 7, 16, -16])
+def test_shifted_with_equal_rows_and_odd_keys(spark, num):
+    a = F.when(F.col("id") % 9 == 0, F.lit(float("nan"))).when(F.col("id") % 7 > 0, F.col("id") % 5 - 0.0)
+    at = F.when(F.col("id") % 11 > 0, F.timestamp_seconds(1_698_535_800 + F.col("id") % 13 * 600))  # a clock is set back here
+    many = spark.range(600).select("id", a.alias("a"), F.struct(at.alias("t")).alias("s"), at.alias("t"), F.concat(F.lit("\u00e9"), F.col("id") % 3).alias("c"), F.col("id").alias("v"))
+    df = many.unionAll(spark.range(300).select(F.lit(3).cast("long").alias("id"), *[F.lit(None).cast(many.schema[c].dataType).alias(c) for c in ("a", "s", "t", "c")], F.lit(7).cast("long").alias("v")))
+    for order in (["a", "s", "c", "id"], ["t", "c", "a", "id"]):
+        shift = F.lag("v", num) if num > 0 else F.lead("v", -num)
+        want = df.select("id", "v", shift.over(Window.orderBy(*order, "v")).alias("z"))
+        got = rows.shifted(df, "v", [*order, "v"], num, None, "z", 20).select("id", "v", "z")
+        assert got.count() == 900 and sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+
+
 def test_limits_of_levels(spark):
     df = spark.range(50).select(F.col("id").cast("string").alias("a"), (F.col("id") % 2).alias("b"))
     with pytest.raises(ValueError, match="more than 20 levels"):
